@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ship
 
@@ -61,7 +62,7 @@ def hash4(ids: np.ndarray, seed: int) -> np.ndarray:
 def with_hash64(df: DataFrame, column: str, out: str, symbols: dict[str, int] | None = None) -> DataFrame:
     """Adds the string id of a column, as a long with the same 64 bits. Each distinct string of a batch is hashed once."""
     ship(df.sparkSession)
-    schema = df.schema.add(out, "long")
+    schema = StructType([*df.schema.fields, StructField(out, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -37,7 +37,7 @@ ORDINALS = tuple(
     nonillionth decillionth gajillionth bazillionth""".split())
 
 #: Unicode White_Space, as a Java class.
-SPACES = r"[\t-\r \x85\xA0  -     　]"
+SPACES = r"[\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def prefix(t: Column) -> Column:

@@ -28,11 +28,9 @@ def simple_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return t.select("doc_id", "i", text.alias("text"), F.substring("piece", F.length(text) + 1, F.length("piece")).alias("ws"))
 
 
-def _case(mapping, value, default=""):
-    out = None
-    for k, v in mapping.items():
-        out = F.when(value == k, v) if out is None else out.when(value == k, v)
-    return out.otherwise(default)
+def _mapped(mapping: dict[str, str], value):
+    """The value a key maps to, '' for others; the key is computed once, which a CASE would do at each branch."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[value], F.lit(""))
 
 
 def annotate(tokens: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def annotate(tokens: DataFrame) -> DataFrame:
     for end, name in SUFFIX_TAGS:
         tag = tag.when((F.length(low) > len(end) + 1) & low.endswith(end), name)
     t = t.withColumn("tag", tag.otherwise("NN"))
-    t = t.withColumn("pos", _case(POS, F.col("tag"))).withColumn("morph", _case(MORPH, F.col("tag")))
+    t = t.withColumn("pos", _mapped(POS, F.col("tag"))).withColumn("morph", _mapped(MORPH, F.col("tag")))
     cutoff = F.when(F.col("tag") == "NNS", 1).when(F.col("tag") == "VBG", 3).when(F.col("tag") == "VBD", 2).otherwise(0)
     t = t.withColumn("lemma", F.substring(low, F.lit(1), F.length(low) - cutoff))
     t = t.withColumn("sent", F.sum("sent_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -22,24 +22,23 @@ class PatternError(ValueError):
     """A pattern that is not supported."""
 
 
-def predicate(spec: dict) -> Column:
-    """Whether a token meets one token spec. Empty strings and lists constrain nothing; anything unknown is an error."""
+def parse(spec: dict) -> list:
+    """Tests, from nothing to a Column each, of one token spec. Empty strings and lists constrain nothing; anything unknown is an error."""
     if not isinstance(spec, dict):
         raise PatternError("a token spec is a dict")
-    tests: list[Column] = []
+    tests: list = []
     for key, value in spec.items():
         if key in FLAGS:
             if not isinstance(value, bool):
                 raise PatternError(f"{key} takes true or false")
-            test = FLAGS[key](F.col("text"))
-            tests.append(test if value else ~test)
+            tests.append(lambda f=FLAGS[key], on=value: f(F.col("text")) if on else ~f(F.col("text")))
             continue
         if key not in ATTRIBUTES:
             raise PatternError(f"{key} is not supported")
         name, forms = ATTRIBUTES[key]
-        c = F.coalesce(F.col(name), F.lit(""))
+        column = lambda name=name: F.coalesce(F.col(name), F.lit(""))
         if isinstance(value, str):
-            tests += [c == value] if value else []
+            tests += [lambda c=column, v=value: c() == v] if value else []
             continue
         if not isinstance(value, dict) or len(value) != 1:
             raise PatternError(f"{key} takes a string or a dict with one key")
@@ -49,14 +48,19 @@ def predicate(spec: dict) -> Column:
         if form == "REGEX":
             if not isinstance(arg, str):
                 raise PatternError("REGEX takes a string")
-            tests += [c.rlike(arg)] if arg else []
+            tests += [lambda c=column, v=arg: c().rlike(v)] if arg else []
         else:
             if not isinstance(arg, (list, tuple)) or not all(isinstance(x, str) for x in arg):
                 raise PatternError(f"{form} takes a list of strings")
             if arg:
                 # Among NOT_IN, the empty string stands for a value that is not set.
-                tests.append(~c.isin(*arg) if form == "NOT_IN" else c.isin(*arg))
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+                tests.append(lambda c=column, v=tuple(arg), no=form == "NOT_IN": ~c().isin(*v) if no else c().isin(*v))
+    return tests
+
+
+def predicate(spec: dict) -> Column:
+    """Whether a token meets one token spec."""
+    return reduce(lambda a, b: a & b, [t() for t in parse(spec)], F.lit(True))
 
 
 @dataclass
@@ -70,7 +74,7 @@ class Matcher:
             raise PatternError("a key and patterns of at least one token are needed")
         for p in alternatives:
             for spec in p:
-                predicate(spec)
+                parse(spec)
         self.patterns.setdefault(key, []).extend(alternatives)
         return self
 

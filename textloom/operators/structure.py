@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+C = F.col
+
 # Labels that can head a noun chunk.
 CHUNK_DEPS = ("oprd", "nsubj", "dobj", "nsubjpass", "pcomp", "pobj", "dative", "appos", "attr", "ROOT")
 
@@ -28,6 +30,7 @@ def ancestors(tokens: DataFrame, rounds: int = 24) -> DataFrame:
     """
     from ..plans.lineage import cut
 
+    tokens = cut(tokens.select("doc_id", "i", "head"))
     up = tokens.select("doc_id", "i", F.col("head").alias("anc"))
     pairs = cut(up.unionByName(tokens.select("doc_id", "i", F.col("i").alias("anc"))).distinct())
     n = pairs.count()
@@ -69,17 +72,22 @@ def noun_chunks(tokens: DataFrame) -> DataFrame:
     A noun heads one if its label is a chunk label, or if it is a conjunct and the first head that is none, climbing while heads lie
     to the left, has such a label. The running end is an aggregate over a document's candidates.
     """
+    from ..plans.lineage import cut
+
+    tokens = cut(tokens.select("doc_id", "i", "head", "dep", "pos"))
     edge = left_edge(tokens)
     nominal = tokens.filter(F.col("pos").isin("NOUN", "PROPN", "PRON"))
     direct = nominal.filter(F.col("dep").isin(*CHUNK_DEPS)).select("doc_id", "i")
     chain = nominal.filter("dep = 'conj'").select("doc_id", "i", F.col("head").alias("at"), F.col("i").alias("below"))
     heads = tokens.select("doc_id", F.col("i").alias("at"), F.col("dep").alias("head_dep"), F.col("head").alias("above"))
-    via, climbing = None, chain
-    for _ in range(8):  # a chain of conjuncts
+    via, climbing = None, cut(chain)
+    while climbing.limit(1).count():  # one round for each conjunct of the longest chain
         step = climbing.join(heads, ["doc_id", "at"])
-        ended = step.filter(~((F.col("head_dep") == "conj") & (F.col("above") < F.col("at")))).filter(F.col("head_dep").isin(*CHUNK_DEPS)).select("doc_id", "i")
+        goes_on = (C("head_dep") == "conj") & (C("above") < C("at"))
+        ended = step.filter(~goes_on & C("head_dep").isin(*CHUNK_DEPS)).select("doc_id", "i")
         via = ended if via is None else via.unionByName(ended)
-        climbing = step.filter((F.col("head_dep") == "conj") & (F.col("above") < F.col("at"))).select("doc_id", "i", F.col("above").alias("at"), F.col("at").alias("below"))
+        climbing = cut(step.filter(goes_on).select("doc_id", "i", C("above").alias("at"), C("at").alias("below")))
+    via = direct.limit(0) if via is None else via
     found = direct.unionByName(via).distinct().join(edge, ["doc_id", "i"])
     ordered = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "left_edge"))).alias("c"))
     empty = F.array().cast("array<struct<start:int,end:int>>")

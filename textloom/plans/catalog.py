@@ -1,10 +1,407 @@
-"""The named queries over the driver's tables, and their SQL."""
+"""The named queries over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import hashing, lexical
+from ..operators import annotate, evaluate, kernels, matcher, rules, rules_en, structure, tokenizer, workflows
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+C = F.col
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+    return register
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule-annotated tokens of all documents."""
+    return annotate.annotate(annotate.simple_tokens(docs(spark, sf_dir)))
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+TOK = annotate.oracle_cte("documents", "true")
+BLANK = r"[ \t\n\r\v\f]"
+CHUNKS = rf"""WITH c0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\v\f]+|{BLANK}+') AS cs FROM documents),
+    c1 AS (SELECT doc_id, generate_subscripts(cs, 1) - 1 AS k, unnest(cs) AS chunk FROM c0)"""
+WORDS = CHUNKS + rf", words AS (SELECT DISTINCT chunk AS text FROM c1 WHERE NOT regexp_matches(chunk, '^{BLANK}'))"
+
+
+def words(spark, sf_dir) -> DataFrame:
+    """Distinct chunks that are no white space."""
+    return tokenizer.chunks(docs(spark, sf_dir)).filter(~C("is_space")).select(C("chunk").alias("text")).distinct()
+
+
+# --- tokenization ---------------------------------------------------------------------------------------------------------
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty most frequent content words, by full tokenization."""
+    t = tokenizer.tokenize(docs(spark, sf_dir)).filter(lexical.is_alpha(C("text")) & ~lexical.is_stop(C("text")))
+    return t.groupBy("norm").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "norm").limit(20)
+
+
+@query(CHUNKS + rf" SELECT doc_id, k::INT AS k, chunk, regexp_matches(chunk, '^{BLANK}') AS is_space FROM c1")
+def tok_chunks(spark, sf_dir):
+    return tokenizer.chunks(docs(spark, sf_dir))
+
+
+def _special_rows():
+    return [(k, j, t, n or t.lower()) for k, v in rules_en.special_cases().items() for j, (t, n) in enumerate(v) if k.strip(" \t\n") and "\\" not in k]
+
+
+@query(CHUNKS + ", sp(chunk, j, piece, norm) AS (VALUES " + ",".join(f"({_q(k)},{j},{_q(t)},{_q(n)})" for k, j, t, n in _special_rows()) + ") SELECT doc_id, k::INT AS k, j::INT AS j, piece, norm FROM c1 JOIN sp USING (chunk)")
+def tok_specials(spark, sf_dir):
+    table = spark.createDataFrame(_special_rows(), "chunk string, j int, piece string, norm string")
+    return tokenizer.chunks(docs(spark, sf_dir)).join(F.broadcast(table), "chunk").select("doc_id", "k", "j", "piece", "norm")
+
+
+@query()
+def tok_full(spark, sf_dir):
+    return tokenizer.tokenize(docs(spark, sf_dir))
+
+
+@query("SELECT doc_id, text FROM documents WHERE text <> ''")
+def tok_roundtrip(spark, sf_dir):
+    return tokenizer.round_trip(tokenizer.tokenize(docs(spark, sf_dir)))
+
+
+@query(CHUNKS + r""", o AS (SELECT doc_id, chunk, coalesce(sum(length(chunk)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS idx FROM c1)
+    SELECT doc_id, idx, chunk AS text, lower(chunk) AS norm FROM o WHERE regexp_matches(chunk, '^\p{L}+$') AND chunk NOT IN (""" + ",".join(sorted({_q(k) for k, *_ in _special_rows()})) + ")")
+def tok_restricted(spark, sf_dir):
+    """Of the full tokenizer's rows those that are a whole chunk of letters and no special case: one token, at the chunk's offset."""
+    t = tokenizer.tokenize(docs(spark, sf_dir))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    blank = lambda c: c.rlike(r"\A[ \t\n\r\x0B\f]")
+    before = (C("i") == 0) | (F.lag("ws").over(w) != "") | blank(F.lag("text").over(w))
+    after = (C("ws") != "") | F.lead("text").over(w).isNull() | blank(F.lead("text").over(w))
+    special = spark.createDataFrame([(k,) for k in sorted({k for k, *_ in _special_rows()})], "text string")
+    return t.withColumn("a", before).withColumn("b", after).filter("a and b").filter(lexical.is_alpha(C("text"))).join(F.broadcast(special), "text", "left_anti").select("doc_id", "idx", "text", "norm")
+
+
+# --- lexical attributes ------------------------------------------------------------------------------------------------
+
+@query(WORDS + r""" SELECT text, regexp_matches(text, '^\p{L}+$') AS is_alpha, regexp_matches(text, '^\p{Nd}+$') AS is_digit, regexp_matches(text, '^\p{P}+$') AS is_punct, false AS is_space,
+    regexp_matches(text, '\p{L}') AND NOT regexp_matches(text, '[\p{Lu}\p{Lt}\p{Lm}\p{Lo}]') AS is_lower, regexp_matches(text, '\p{L}') AND NOT regexp_matches(text, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]') AS is_upper,
+    regexp_matches(text, '^\P{L}*(\p{Lu}\p{Ll}*(\P{L}+|$))+$') AS is_title, regexp_matches(text, '^[\x00-\x7F]*$') AS is_ascii FROM words""")
+def lex_flags(spark, sf_dir):
+    return words(spark, sf_dir).select("text", *[lexical.FLAGS[f](C("text")).alias(f) for f in ("is_alpha", "is_digit", "is_punct", "is_space", "is_lower", "is_upper", "is_title", "is_ascii")])
+
+
+@query(WORDS + r""", m AS (SELECT text, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\p{Lu}', chr(57344), 'g'), '\p{Ll}', chr(57345), 'g'), '\p{Nd}', 'd', 'g'), '') AS cs FROM words),
+    n AS (SELECT text, list_transform(cs, lambda c: CASE WHEN c = chr(57344) THEN 'X' WHEN c = chr(57345) THEN 'x' ELSE c END) AS cs FROM m)
+    SELECT text, CASE WHEN length(text) < 4 THEN array_to_string(cs, '') ELSE array_to_string(list_filter(cs, lambda c, i: NOT coalesce(i > 4 AND cs[i-1] = c AND cs[i-2] = c AND cs[i-3] = c AND cs[i-4] = c, false)), '') END AS shape FROM n""")
+def lex_shape(spark, sf_dir):
+    return words(spark, sf_dir).select("text", lexical.shape(C("text")).alias("shape"))
+
+
+@query(WORDS + " SELECT text, lower(text) AS lower, left(text, 1) AS prefix, right(text, 3) AS suffix FROM words")
+def lex_affix(spark, sf_dir):
+    t = C("text")
+    return words(spark, sf_dir).select("text", F.lower(t).alias("lower"), lexical.prefix(t).alias("prefix"), lexical.suffix(t).alias("suffix"))
+
+
+_NUMBERS = ",".join(_q(x) for x in (*lexical.CARDINALS, *lexical.ORDINALS))
+
+
+@query(WORDS + rf""", b AS (SELECT text, regexp_replace(regexp_replace(text, '^[+\-±~]', ''), '[,.]', '', 'g') AS bare FROM words)
+    SELECT text, regexp_matches(bare, '^[0-9]+$') OR regexp_matches(bare, '^[0-9]+/[0-9]+$') OR lower(bare) IN ({_NUMBERS}) OR regexp_matches(lower(bare), '^[0-9]+(st|nd|rd|th)$') AS like_num FROM b""")
+def like_num(spark, sf_dir):
+    return words(spark, sf_dir).select("text", lexical.like_num(C("text")).alias("like_num"))
+
+
+_STOPS = ",".join(_q(x) for x in sorted(lexical.STOP_WORDS))
+
+
+@query(CHUNKS + f" SELECT lower(chunk) AS word, count(*) AS n FROM c1 WHERE lower(chunk) IN ({_STOPS}) GROUP BY 1")
+def stop_words(spark, sf_dir):
+    t = tokenizer.chunks(docs(spark, sf_dir)).filter(lexical.is_stop(C("chunk")))
+    return t.groupBy(F.lower("chunk").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query()
+def hash64_tokens(spark, sf_dir):
+    return hashing.string_table(words(spark, sf_dir), "text")
+
+
+@query(TOK + " SELECT DISTINCT tag, morph, list_contains(string_split(morph, '|'), 'Number=Plur') AS plural, list_contains(string_split(morph, '|'), 'Tense=Past') AS past FROM tok")
+def morph_features(spark, sf_dir):
+    m = C("morph")
+    return tokens(spark, sf_dir).select("tag", "morph", lexical.morph_has(m, "Number=Plur").alias("plural"), lexical.morph_has(m, "Tense=Past").alias("past")).distinct()
+
+
+_BASE = """(pos = 'NOUN' AND morph LIKE '%Number=Sing%') OR (pos = 'VERB' AND morph LIKE '%VerbForm=Fin%' AND morph LIKE '%Tense=Pres%' AND morph NOT LIKE '%Number=%') OR morph LIKE '%Degree=Pos%' OR morph LIKE '%VerbForm=Inf%'"""
+
+
+@query(TOK + f" SELECT pos, morph, {_BASE} AS base, count(*) AS n FROM tok GROUP BY ALL")
+def base_form(spark, sf_dir):
+    return tokens(spark, sf_dir).groupBy("pos", "morph", rules.is_base_form(C("pos"), C("morph")).alias("base")).agg(F.count("*").alias("n"))
+
+
+# --- structure --------------------------------------------------------------------------------------------------------------
+
+@query(TOK + ", kids AS (SELECT doc_id, head AS i, string_agg(i::VARCHAR, ',' ORDER BY i) AS children FROM tok WHERE head <> i GROUP BY ALL) SELECT t.doc_id, t.i, coalesce(children, '') AS children FROM tok t LEFT JOIN kids k ON t.doc_id = k.doc_id AND t.i = k.i")
+def children(spark, sf_dir):
+    return structure.children(tokens(spark, sf_dir)).select("doc_id", "i", F.array_join("children", ",").alias("children"))
+
+
+_ANC = TOK + ", up AS (SELECT doc_id, i, i AS anc FROM tok UNION SELECT u.doc_id, u.i, t.head FROM up u JOIN tok t ON u.doc_id = t.doc_id AND u.anc = t.i)"
+
+
+@query(_ANC + " SELECT doc_id, anc AS i, count(*) AS n, sum(i)::BIGINT AS members, min(i) AS left_edge FROM up GROUP BY ALL")
+def subtree(spark, sf_dir):
+    s = structure.subtree(tokens(spark, sf_dir))
+    return s.groupBy("doc_id", "i").agg(F.count("*").alias("n"), F.sum("member").alias("members"), F.min("member").alias("left_edge"))
+
+
+_SENTS = TOK + ", st AS (SELECT *, (sum(CASE WHEN i > 0 AND sent_start = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i))::INT AS sent FROM tok)"
+
+
+@query(_SENTS + ' SELECT doc_id, sent, min(i) AS start, max(i) + 1 AS "end" FROM st GROUP BY ALL')
+def sents(spark, sf_dir):
+    return structure.sentences(tokens(spark, sf_dir))
+
+
+_ENTS = TOK + ", er AS (SELECT *, sum(CASE WHEN ent_iob = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM tok), ents AS (SELECT doc_id, min(i) AS start, max(i) + 1 AS \"end\", arg_min(ent_type, i) AS label FROM er GROUP BY doc_id, run HAVING arg_min(ent_iob, i) = 3)"
+
+
+@query(_ENTS + " SELECT * FROM ents")
+def ents_iob(spark, sf_dir):
+    return structure.entities(tokens(spark, sf_dir))
+
+
+# --- matcher ------------------------------------------------------------------------------------------------------------------
+
+def _match(name: str, pattern: list[dict], sql: list[str]) -> None:
+    """A query of one pattern; of one length only, so that overlaps are dropped from the left: sql gives the condition of each token."""
+    m = matcher.Matcher().add("m", pattern)
+    joins = " ".join(f"JOIN tok t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.i = t0.i + {k} AND ({s.format(f't{k}')})" for k, s in enumerate(sql) if k)
+    n = len(pattern)
+    if n == 1:
+        query(TOK + f' SELECT doc_id, i AS start, i + 1 AS "end" FROM tok t0 WHERE {sql[0].format("t0")}', name)(lambda spark, sf_dir: m.matches(tokens(spark, sf_dir)).select("doc_id", "start", "end"))
+    else:
+        query(TOK + f' SELECT t0.doc_id, t0.i AS start, t0.i + {n} AS "end" FROM tok t0 {joins} WHERE {sql[0].format("t0")}', name)(lambda spark, sf_dir: m.scan(tokens(spark, sf_dir)).select("doc_id", "start", "end"))
+
+
+_match("match_orth", [{"ORTH": "The"}], ["{}.text = 'The'"])
+_match("match_lower_in", [{"LOWER": {"IN": ["the", "of"]}}], ["{}.lower IN ('the', 'of')"])
+_match("match_lower_regex", [{"LOWER": {"REGEX": "^th.*on$"}}], ["regexp_matches({}.lower, '^th.*on$')"])
+_match("match_tag_not_in", [{"TAG": {"NOT_IN": ["NN", "NNS", "SYM", "."]}, "POS": "VERB"}], ["{0}.tag NOT IN ('NN', 'NNS', 'SYM', '.') AND {0}.pos = 'VERB'"])
+_match("match_pos", [{"POS": {"IN": ["ADJ", "ADV"]}}], ["{}.pos IN ('ADJ', 'ADV')"])
+_match("match_dep", [{"DEP": {"NOT_IN": ["dep", "punct", "dobj"]}, "POS": "NOUN"}], ["{0}.dep NOT IN ('dep', 'punct', 'dobj') AND {0}.pos = 'NOUN'"])
+_match("match_lemma", [{"LEMMA": {"IN": ["ble", "er"]}}], ["{}.lemma IN ('ble', 'er')"])
+_match("match_ent", [{"ENT_TYPE": {"IN": ["PERSON", "ORG"]}}], ["{}.ent_type IN ('PERSON', 'ORG')"])
+_match("match_flags", [{"IS_STOP": False, "IS_ALPHA": True, "IS_PUNCT": False}], [f"{{0}}.lower NOT IN ({_STOPS}) AND regexp_matches({{0}}.text, '^\\p{{{{L}}}}+$')"])
+_match("match_like_num", [{"LIKE_NUM": True}], [f"(regexp_matches({{0}}.text, '^[0-9]+$') OR {{0}}.lower IN ({_NUMBERS}))"])
+_match("match_sequence", [{"POS": "DET"}, {"POS": {"IN": ["ADJ", "NOUN"]}}, {"LOWER": {"REGEX": "e"}}], ["{}.pos = 'DET'", "{}.pos IN ('ADJ', 'NOUN')", "contains({}.lower, 'e')"])
+
+
+@query()
+def match_dedup(spark, sf_dir):
+    """Alternatives of one key compete: the longest first."""
+    m = matcher.Matcher().add("np", [{"POS": "NOUN"}], [{"POS": "ADJ"}, {"POS": "NOUN"}], [{"POS": "DET"}, {"POS": "ADJ"}, {"POS": "NOUN"}])
+    return m.matches(tokens(spark, sf_dir))
+
+
+# --- rules ----------------------------------------------------------------------------------------------------------------------
+
+_PATTERNS = [
+    {"patterns": [[{"TAG": "NNS"}]], "attrs": {"POS": "NOUN", "MORPH": "_"}},
+    {"patterns": [[{"LOWER": {"REGEX": "ing$"}, "TAG": "VBG"}]], "attrs": {"POS": "GER", "LEMMA": "-ing"}},
+    {"patterns": [[{"TAG": "DT"}, {"TAG": {"IN": ["NN", "NNS"]}}]], "attrs": {"POS": "HEAD"}, "index": 1}]
+
+
+@query(TOK + """ SELECT doc_id, i, CASE WHEN tag IN ('NN', 'NNS') AND lag(tag) OVER w = 'DT' THEN 'HEAD' WHEN tag = 'VBG' AND lower LIKE '%ing' THEN 'GER' WHEN tag = 'NNS' THEN 'NOUN' ELSE pos END AS pos,
+    CASE WHEN tag = 'NNS' THEN '' ELSE morph END AS morph, CASE WHEN tag = 'VBG' AND lower LIKE '%ing' THEN '-ing' ELSE lemma END AS lemma FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
+def ruler_last_wins(spark, sf_dir):
+    return rules.attribute_ruler(tokens(spark, sf_dir), _PATTERNS).select("doc_id", "i", "pos", "morph", "lemma")
+
+
+_LOOKUP = [("the", "THE"), ("of", "OF"), ("er", "-er"), ("an", "A")]
+
+
+@query(TOK + ", l(text, lem) AS (VALUES " + ",".join(f"('{a}','{b}')" for a, b in _LOOKUP) + ") SELECT doc_id, i, coalesce(lem, text) AS lemma FROM tok LEFT JOIN l USING (text)")
+def lemma_lookup(spark, sf_dir):
+    return rules.lookup_lemmas(tokens(spark, sf_dir), spark.createDataFrame(_LOOKUP, "text string, lemma string"), overwrite=True).select("doc_id", "i", "lemma")
+
+
+_RULES = [("noun", 0, "s", ""), ("noun", 1, "ses", "s"), ("noun", 2, "es", "e"), ("verb", 0, "ed", ""), ("verb", 1, "ed", "e"), ("verb", 2, "ing", ""), ("verb", 3, "ing", "e")]
+_INDEX = [("noun", "thing"), ("noun", "the"), ("verb", "er"), ("verb", "ere"), ("verb", "on")]
+_EXC = [("noun", "es", 0, "e-s"), ("verb", "ing", 0, "in"), ("verb", "ing", 1, "ing")]
+
+
+@query(TOK + ", r(pos, ord, old, new) AS (VALUES " + ",".join(map(str, _RULES)) + "), ix(pos, lem) AS (VALUES " + ",".join(map(str, _INDEX)) + "), ex(pos, low, ord, lem) AS (VALUES " + ",".join(map(str, _EXC)) + f"""),
+    v AS (SELECT DISTINCT lower AS low, lower(pos) AS pos, text, {_BASE} AS base FROM tok),
+    m AS (SELECT DISTINCT low, v.pos, left(low, length(low) - length(old)) || new AS form, r.ord FROM v JOIN r ON v.pos = r.pos AND suffix(low, old) WHERE NOT base),
+    f AS (SELECT low, m.pos, form, CASE WHEN ix.lem IS NOT NULL THEN 1 WHEN NOT regexp_matches(form, '^\\p{{L}}+$') THEN 2 ELSE 3 END AS kind, m.ord FROM m LEFT JOIN ix ON m.pos = ix.pos AND m.form = ix.lem WHERE form <> ''),
+    g AS (SELECT low, pos, form, kind, CASE WHEN kind = 1 THEN -ord ELSE ord END AS ord FROM f UNION ALL
+        SELECT low, pos, lem, 0, -ord FROM ex WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.low = ex.low AND f.pos = ex.pos AND f.form = ex.lem AND f.kind < 3)),
+    b AS (SELECT low, pos, arg_min(form, kind * 1000 + ord) AS form FROM g GROUP BY ALL),
+    s AS (SELECT v.text, v.pos, v.base, CASE WHEN base THEN v.low WHEN v.pos NOT IN ('noun', 'verb') THEN CASE WHEN v.pos = 'propn' THEN v.text ELSE v.low END ELSE coalesce(b.form, v.text) END AS lem FROM v LEFT JOIN b ON v.low = b.low AND v.pos = b.pos)
+    SELECT t.doc_id, t.i, s.lem AS lemma FROM tok t JOIN s ON t.text = s.text AND lower(t.pos) = s.pos AND ({_BASE.replace('pos ', 't.pos ').replace('morph ', 't.morph ')}) = s.base""")
+def lemma_rules(spark, sf_dir):
+    return rules.rule_lemmas(
+        tokens(spark, sf_dir), spark.createDataFrame(_RULES, "pos string, ord int, old string, new string"), spark.createDataFrame(_INDEX, "pos string, lemma string"),
+        spark.createDataFrame(_EXC, "pos string, text string, ord int, lemma string"), overwrite=True).select("doc_id", "i", "lemma")
+
+
+# --- kernels: over embeddings, label as the sequence and vec_id as the place in it ----------------------------------------------
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+VEC = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+_W = [[((r * 64 + c) % 7 - 3) / 8 for c in range(64)] for r in range(6)]
+_B = [r / 4 for r in range(6)]
+_AFFINE = VEC + ", w(k, w, b) AS (VALUES " + ",".join(f"({k}, {r}, {b})" for k, (r, b) in enumerate(zip(_W, _B))) + "), a AS (SELECT vec_id, k, list_dot_product(v, w::DOUBLE[]) + b AS x FROM e, w)"
+
+
+def _flat(df: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
+    return df.select(*keys, F.posexplode("v").alias("k", "x")).select(*keys, "k", (F.round("x", digits) + 0.0).alias("x"))
+
+
+def affined(spark, sf_dir) -> DataFrame:
+    return vectors(spark, sf_dir).select("vec_id", kernels.affine(C("v"), kernels.matrix(_W), F.array(*map(F.lit, _B))).alias("v"))
+
+
+@query(_AFFINE + " SELECT vec_id, k, round(x, 6) AS x FROM a")
+def k_affine(spark, sf_dir):
+    return _flat(affined(spark, sf_dir), "vec_id")
+
+
+@query(_AFFINE + " SELECT vec_id, (k // 3)::INT AS k, round(max(x), 6) AS x FROM a GROUP BY ALL")
+def k_maxout(spark, sf_dir):
+    return _flat(affined(spark, sf_dir).select("vec_id", kernels.maxout(C("v"), 3).alias("v")), "vec_id")
+
+
+@query(_AFFINE + ", s AS (SELECT vec_id, k, exp(x - max(x) OVER (PARTITION BY vec_id)) AS z FROM a) SELECT vec_id, k, round(z / sum(z) OVER (PARTITION BY vec_id), 6) AS x FROM s")
+def k_softmax(spark, sf_dir):
+    return _flat(affined(spark, sf_dir).select("vec_id", kernels.softmax(C("v")).alias("v")), "vec_id")
+
+
+@query(_AFFINE + ", s AS (SELECT *, min(k) FILTER (x = top) OVER (PARTITION BY vec_id) AS best FROM (SELECT *, max(x) OVER (PARTITION BY vec_id) AS top FROM a)) SELECT DISTINCT vec_id, best AS k FROM s")
+def tagger_argmax(spark, sf_dir):
+    return affined(spark, sf_dir).select("vec_id", kernels.argmax(C("v")).alias("k"))
+
+
+@query(VEC + ", x AS (SELECT vec_id, unnest(range(64))::INT AS k, unnest(v) AS x FROM e) SELECT vec_id, k, round(CASE WHEN x > 20 THEN x ELSE x * tanh(ln(1 + exp(x))) END, 6) AS x FROM x")
+def k_mish(spark, sf_dir):
+    return _flat(vectors(spark, sf_dir).select("vec_id", kernels.mish(C("v")).alias("v")), "vec_id")
+
+
+@query(VEC + ", x AS (SELECT vec_id, unnest(range(64))::INT AS k, unnest(v) AS x FROM e) SELECT vec_id, k, round((x - avg(x) OVER p) / sqrt(var_pop(x) OVER p + 1e-8) * 2 + 1, 5) + 0.0 AS x FROM x WINDOW p AS (PARTITION BY vec_id)")
+def k_layernorm(spark, sf_dir):
+    n = lambda x: F.array_repeat(F.lit(x), 64)
+    return _flat(vectors(spark, sf_dir).select("vec_id", kernels.layer_norm(C("v"), n(2.0), n(1.0)).alias("v")), "vec_id", digits=5)
+
+
+@query(VEC + ", z AS (SELECT list_transform(range(64), lambda i: 0.0::DOUBLE) AS z), c AS (SELECT vec_id, coalesce(lag(v) OVER w, z) || v || coalesce(lead(v) OVER w, z) AS v FROM e, z WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT vec_id, unnest(range(192))::INT AS k, round(unnest(v), 6) + 0.0 AS x FROM c")
+def k_seq2col(spark, sf_dir):
+    return _flat(kernels.seq2col(vectors(spark, sf_dir), 1, "label", "vec_id", "v"), "vec_id")
+
+
+@query(VEC + ", c AS (SELECT label, arg_min(v, vec_id) AS a, arg_max(v, vec_id) AS z FROM e GROUP BY 1) SELECT label, unnest(range(64))::INT AS k, round(unnest(a), 6) AS x, round(unnest(z), 6) AS y FROM c")
+def k_reduce_first_last(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    a, z = kernels.reduce_first(v, "label", "vec_id"), kernels.reduce_last(v, "label", "vec_id").withColumnRenamed("v", "z")
+    return a.join(z, "label").select("label", F.posexplode(F.arrays_zip("v", "z")).alias("k", "p")).select("label", "k", F.round("p.v", 6).alias("x"), F.round("p.z", 6).alias("y"))
+
+
+@query(VEC + ", n AS (SELECT label, count(*) AS n FROM e GROUP BY 1), r AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS slot FROM n) SELECT vec_id, slot::INT AS slot, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS time FROM e JOIN r USING (label)")
+def k_list2padded(spark, sf_dir):
+    return kernels.list2padded(vectors(spark, sf_dir), "label", "vec_id").select("vec_id", "slot", "time")
+
+
+@query(VEC + ", i AS (SELECT vec_id AS \"row\", unnest([vec_id % 17, vec_id % 5, vec_id % 17]) AS id FROM e), x AS (SELECT i.\"row\", unnest(range(64))::INT AS k, unnest(v) AS x FROM i JOIN e ON i.id = e.vec_id) SELECT \"row\", k, round(sum(x), 6) AS x FROM x GROUP BY ALL")
+def k_gather_add(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    ids = v.select(C("vec_id").alias("row"), F.array(C("vec_id") % 17, C("vec_id") % 5, C("vec_id") % 17).alias("ids"))
+    return _flat(kernels.gather_add(ids, v.filter("vec_id < 17").select(C("vec_id").alias("id"), "v")), "row")
+
+
+@query(VEC + " SELECT a.vec_id, round(CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0 ELSE list_cosine_similarity(a.v, b.v) END, 6) AS similarity FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+def k_cosine(spark, sf_dir):
+    a = vectors(spark, sf_dir)
+    b = a.select((C("vec_id") - 1).alias("vec_id"), C("v").alias("w"))
+    return a.join(b, "vec_id").select("vec_id", F.round(kernels.cosine(C("v"), C("w")), 6).alias("similarity"))
+
+
+# --- workflows ------------------------------------------------------------------------------------------------------------------
+
+_HEAD = "JOIN tok h ON h.doc_id = t.doc_id AND h.i = t.head"
+_PUNCT = r"regexp_matches(text, '^\p{P}+$')"
+_SQL = {
+    "w01_pos_freq": TOK + " SELECT doc_id, pos, count(*) AS n FROM tok GROUP BY ALL",
+    "w02_propn": TOK + " SELECT doc_id, i, text FROM tok WHERE pos = 'PROPN'",
+    "w03_comparatives": TOK + " SELECT doc_id, i, text, tag FROM tok WHERE tag IN ('JJR', 'JJS', 'RBR', 'RBS')",
+    "w04_unique_lemmas": TOK + " SELECT DISTINCT doc_id, lemma FROM tok",
+    "w05_content_words": TOK + f" SELECT doc_id, i, lemma FROM tok WHERE lower NOT IN ({_STOPS}) AND NOT {_PUNCT}",
+    "w06_lemma_freq": TOK + f" SELECT doc_id, lemma, count(*) AS n FROM tok WHERE lower NOT IN ({_STOPS}) AND NOT {_PUNCT} GROUP BY ALL",
+    "w07_sent_roots": TOK + " SELECT doc_id, i, text, dep, pos FROM tok WHERE dep = 'ROOT'",
+    "w08_svo": TOK + ", k AS (SELECT doc_id, head AS i, arg_min(text, i) FILTER (dep = 'nsubj') AS subj, arg_min(text, i) FILTER (dep = 'dobj') AS obj FROM tok WHERE head <> i GROUP BY doc_id, head) SELECT t.doc_id, t.i, subj, text AS verb, obj FROM tok t JOIN k ON t.doc_id = k.doc_id AND t.i = k.i WHERE pos = 'VERB' AND subj IS NOT NULL AND obj IS NOT NULL",
+    "w09_passive": TOK + f" SELECT t.doc_id, t.i, t.text, h.text AS head FROM tok t {_HEAD} WHERE t.dep = 'nsubjpass'",
+    "w10_negation": TOK + f" SELECT t.doc_id, t.i, t.text AS neg, h.text AS head, h.pos AS head_pos FROM tok t {_HEAD} WHERE t.dep = 'neg'",
+    "w11_sent_segmentation": _SENTS + ", z AS (SELECT *, max(i) OVER (PARTITION BY doc_id, sent) AS z FROM st) SELECT doc_id, sent, string_agg(text || CASE WHEN i = z THEN '' ELSE ws END, '' ORDER BY i) AS text FROM z GROUP BY ALL",
+    "w12_sent_count": _SENTS + " SELECT doc_id, max(sent)::BIGINT + 1 AS n FROM st GROUP BY ALL",
+    "w13_plural_nouns": TOK + " SELECT doc_id, i, text FROM tok WHERE pos = 'NOUN' AND morph = 'Number=Plur'",
+    "w14_past_tense": TOK + " SELECT doc_id, i, text FROM tok WHERE pos = 'VERB' AND morph LIKE 'Tense=Past%'",
+    "w16_questions": _SENTS + " SELECT doc_id, sent, arg_min(tag, i) LIKE 'W%' OR arg_max(text, i) = '?' AS is_question FROM st GROUP BY ALL",
+    "w17_keywords": TOK + f" SELECT doc_id, lemma, count(*) AS n FROM tok WHERE pos IN ('NOUN', 'PROPN') AND lower NOT IN ({_STOPS}) GROUP BY ALL",
+    "w18_entities": _ENTS + ' SELECT e.doc_id, e.start, e."end", e.label, string_agg(t.text || CASE WHEN t.i = e."end" - 1 THEN \'\' ELSE t.ws END, \'\' ORDER BY t.i) AS text FROM ents e JOIN tok t ON t.doc_id = e.doc_id AND t.i >= e.start AND t.i < e."end" GROUP BY ALL',
+    "w19_token_report": TOK + f" SELECT doc_id, i, text, lemma, pos, tag, regexp_matches(text, '^\\p{{L}}+$') AS is_alpha, lower IN ({_STOPS}) AS is_stop FROM tok WHERE i < 10",
+    "w20_dep_report": TOK + f" SELECT t.doc_id, t.i, t.text, t.dep, h.text AS head_text FROM tok t {_HEAD} WHERE t.i < 10"}
+for _name, _f in workflows.WORKFLOWS.items():
+    query(_SQL.get(_name), _name)(lambda spark, sf_dir, f=_f: f(tokens(spark, sf_dir)))
+
+
+# --- evaluation: the annotation against one that is off in known places ---------------------------------------------------------
+
+def _other(t: DataFrame) -> DataFrame:
+    i = C("i")
+    return t.withColumn("head", F.when(i % 7 == 0, 0).otherwise(C("head"))).withColumn("dep", F.when(i % 11 == 0, "dep").otherwise(C("dep"))).withColumn("tag", F.when(i % 13 == 0, "XX").otherwise(C("tag"))).withColumn("ent_iob", F.when(i % 10 == 0, 2).otherwise(C("ent_iob")))
+
+
+_OTHER = ", oth AS (SELECT doc_id, i, CASE WHEN i % 7 = 0 THEN 0 ELSE head END AS head, CASE WHEN i % 11 = 0 THEN 'dep' ELSE dep END AS dep, CASE WHEN i % 13 = 0 THEN 'XX' ELSE tag END AS tag, CASE WHEN i % 10 = 0 THEN 2 ELSE ent_iob END AS ent_iob, ent_type FROM tok)"
+
+
+@query(TOK + _OTHER + " SELECT count(*) AS n, round(avg((t.head = o.head)::INT), 8) AS uas, round(avg((t.head = o.head AND t.dep = o.dep)::INT), 8) AS las FROM tok t JOIN oth o USING (doc_id, i)")
+def uas_las(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    return evaluate.attachment(_other(t), t).select("n", F.round("uas", 8).alias("uas"), F.round("las", 8).alias("las"))
+
+
+_ENT2 = _ENTS + _OTHER + ", er2 AS (SELECT *, sum(CASE WHEN ent_iob = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM oth), ents2 AS (SELECT doc_id, min(i) AS start, max(i) + 1 AS \"end\", arg_min(ent_type, i) AS label FROM er2 GROUP BY doc_id, run HAVING arg_min(ent_iob, i) = 3)"
+
+
+@query(_ENT2 + ", c AS (SELECT (SELECT count(*) FROM (SELECT * FROM ents2 INTERSECT SELECT * FROM ents)) AS tp, (SELECT count(*) FROM (SELECT * FROM ents2 EXCEPT SELECT * FROM ents)) AS fp, (SELECT count(*) FROM (SELECT * FROM ents EXCEPT SELECT * FROM ents2)) AS fn) SELECT tp, fp, fn, round(tp / (tp + fp), 8) AS p, round(tp / (tp + fn), 8) AS r, round(2 * tp / (2 * tp + fp + fn), 8) AS f1 FROM c")
+def entity_prf(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    s = evaluate.entity_scores(structure.entities(_other(t)), structure.entities(t))
+    return s.select("tp", "fp", "fn", *[F.round(c, 8).alias(c) for c in ("p", "r", "f1")])
+
+
+@query(TOK + _OTHER + " SELECT doc_id, i, 'tag' AS attr, o.tag AS got, t.tag AS want FROM tok t JOIN oth o USING (doc_id, i) WHERE o.tag <> t.tag")
+def attr_diff(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    return evaluate.attr_diff(_other(t), t)
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+@query(VEC + ", x AS (SELECT unnest(v) AS want FROM e), y AS (SELECT want, round(want, 3) AS got FROM x) SELECT count(*) AS n, sum((abs(got - want) > 1e-5 AND abs(got - want) > 1e-5 * abs(want))::INT)::BIGINT AS failed, round(max(abs(got - want)), 8) AS max_abs, round(avg(abs(got - want)), 8) AS mean_abs FROM y")
+def float_diff(spark, sf_dir):
+    p = vectors(spark, sf_dir).select(F.explode("v").alias("want")).withColumn("got", F.round("want", 3))
+    return evaluate.float_diff(p).select("n", "failed", F.round("max_abs", 8).alias("max_abs"), F.round("mean_abs", 8).alias("mean_abs"))
