@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..session import ship
 
@@ -79,3 +79,47 @@ def string_table(df: DataFrame, column: str, symbols: dict[str, int] | None = No
     if symbols:
         distinct = distinct.filter(~F.col("text").isin(*symbols))
     return with_hash64(distinct, "text", "id")
+
+
+def murmur3_128(data: bytes, seed: int = 0) -> tuple[int, int, int, int]:
+    """The public MurmurHash3, x86, 128 bits: four lanes, each block word mixed into its own."""
+    m = 0xFFFFFFFF
+    c = (0x239B961B, 0xAB0E9789, 0x38B34AE5, 0xA1E38B93)
+    turns, after, adds = (15, 16, 17, 18), (19, 17, 15, 13), (0x561CCD1B, 0x0BCAA747, 0x96CD1C35, 0x32AC3B17)
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & m
+    word = lambda k, j: rot(k * c[j] & m, turns[j]) * c[(j + 1) % 4] & m
+
+    def final(x: int) -> int:
+        x = (x ^ x >> 16) * 0x85EBCA6B & m
+        x = (x ^ x >> 13) * 0xC2B2AE35 & m
+        return x ^ x >> 16
+
+    h = [seed] * 4
+    whole = len(data) // 16 * 16
+    for at in range(0, whole, 16):
+        for j in range(4):
+            h[j] ^= word(int.from_bytes(data[at + 4 * j:at + 4 * j + 4], "little"), j)
+            h[j] = ((rot(h[j], after[j]) + h[(j + 1) % 4]) * 5 + adds[j]) & m
+    tail = data[whole:]
+    for j in range(4):
+        if part := tail[4 * j:4 * j + 4]:
+            h[j] ^= word(int.from_bytes(part, "little"), j)
+    h = [x ^ len(data) for x in h]
+    for step in (lambda x: x, final):
+        h = [step(x) for x in h]
+        h[0] = sum(h) & m
+        h[1:] = [(x + h[0]) & m for x in h[1:]]
+    return tuple(h)
+
+
+def with_hash4(df: DataFrame, column: str, out: str, seed: int) -> DataFrame:
+    """Adds the four words of a long column's ids as an array."""
+    ship(df.sparkSession)
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = hash4(b.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), seed).astype(np.int64)
+            yield b.append_column(out, pa.array(list(words), pa.list_(pa.int64())))
+
+    return df.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing, lexical
+from ..functions import hashing, lexical, symbols
 from ..operators import annotate, evaluate, kernels, matcher, rules, rules_en, structure, tokenizer, workflows
 
 QUERIES: dict = {}
@@ -405,3 +405,68 @@ def attr_diff(spark, sf_dir):
 def float_diff(spark, sf_dir):
     p = vectors(spark, sf_dir).select(F.explode("v").alias("want")).withColumn("got", F.round("want", 3))
     return evaluate.float_diff(p).select("n", "failed", F.round("max_abs", 8).alias("max_abs"), F.round("mean_abs", 8).alias("mean_abs"))
+
+
+# --- the rest ---------------------------------------------------------------------------------------------------------------------
+
+@query()
+def hash4_ids(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    h = hashing.with_hash4(v, "vec_id", "h", 8)
+    return h.select("vec_id", *[C("h")[k].alias(f"h{k}") for k in range(4)])
+
+
+_SYMBOLS = sorted(symbols.SYMBOLS.items())
+
+
+@query(TOK + ", s(name, id) AS (VALUES " + ",".join(f"('{n}',{k})" for n, k in _SYMBOLS) + "), n AS (SELECT pos AS name, count(*) AS n FROM tok GROUP BY 1 UNION ALL SELECT dep, count(*) FROM tok GROUP BY 1) SELECT name, coalesce(id, -1)::INT AS id, n FROM n LEFT JOIN s USING (name)")
+def symbols_lookup(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    n = t.groupBy(C("pos").alias("name")).agg(F.count("*").alias("n")).unionByName(t.groupBy(C("dep").alias("name")).agg(F.count("*").alias("n")))
+    return n.join(F.broadcast(symbols.table(spark)), "name", "left").select("name", F.coalesce("id", F.lit(-1)).alias("id"), "n")
+
+
+@query(TOK + ", f AS (SELECT length(dep) % 3 AS action, dep AS label, count(*) AS freq FROM tok GROUP BY ALL) SELECT (row_number() OVER (ORDER BY action, freq DESC, label DESC) - 1)::INT AS class_idx, action::INT AS move, label, freq FROM f")
+def moves_order(spark, sf_dir):
+    """Classes of a transition system in the order of the model's outputs; one row a label."""
+    f = tokens(spark, sf_dir).groupBy((F.length("dep") % 3).alias("move"), C("dep").alias("label")).agg(F.count("*").alias("freq"))
+    return f.select((F.row_number().over(Window.orderBy("move", F.desc("freq"), F.desc("label"))) - 1).alias("class_idx"), "move", "label", "freq")
+
+
+@query(VEC + ", n AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM e GROUP BY label)), p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, v[1] AS x FROM e), g AS (SELECT DISTINCT label, unnest(range((SELECT n FROM n))) AS t FROM e) SELECT g.label, g.t::INT AS t, round(coalesce(x, 0), 6) + 0.0 AS x FROM g LEFT JOIN p ON g.label = p.label AND g.t = p.t")
+def k_pad(spark, sf_dir):
+    """First value of each vector of the padded sequences."""
+    v = vectors(spark, sf_dir)
+    longest = v.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    padded = kernels.pad(v, longest, 64, "label", "vec_id").select("label", F.posexplode("v").alias("t", "w"))
+    return padded.select("label", "t", (F.round(C("w")[0], 6) + 0.0).alias("x"))
+
+
+@query(TOK + VEC.replace("WITH ", ", ") + """, d AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS k FROM (SELECT DISTINCT lower AS text FROM tok WHERE regexp_matches(lower, '^[a-z]{1,3}$'))), vt AS (SELECT text AS key, v FROM d JOIN e ON e.vec_id = d.k),
+    x AS (SELECT doc_id, unnest(range(64)) AS k, unnest(v) AS x FROM tok JOIN vt ON tok.lower = vt.key), m AS (SELECT doc_id, k, avg(x) AS x FROM x GROUP BY ALL), l AS (SELECT doc_id, list(x ORDER BY k) AS v FROM m GROUP BY 1),
+    docs AS (SELECT DISTINCT doc_id AS a, doc_id + 1 AS b FROM documents) SELECT a, b, round(coalesce(list_cosine_similarity(p.v, q.v), 0), 5) + 0.0 AS similarity FROM docs LEFT JOIN l p ON p.doc_id = a LEFT JOIN l q ON q.doc_id = b""")
+def doc_similarity(spark, sf_dir):
+    """Each document with the next one, by the means of their short words' vectors (those of embeddings, dealt out in order)."""
+    t = tokens(spark, sf_dir)
+    short = t.filter(C("lower").rlike("^[a-z]{1,3}$")).select(C("lower").alias("key")).distinct()
+    key = short.select("key", (F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("vec_id"))
+    table = key.join(vectors(spark, sf_dir).select("vec_id", "v"), "vec_id").select("key", "v")
+    pairs = docs(spark, sf_dir).select(C("doc_id").alias("a"), (C("doc_id") + 1).alias("b")).distinct()
+    s = workflows.similarity(pairs, workflows.document_vectors(t, table))
+    return s.select("a", "b", (F.round("similarity", 5) + 0.0).alias("similarity"))
+
+
+@query(TOK + " SELECT doc_id, 'text' AS kind, i, text || '~' AS got, text AS want FROM tok WHERE i % 5 = 0")
+def token_diff(spark, sf_dir):
+    t = tokens(spark, sf_dir).select("doc_id", "i", "text", C("i").alias("idx"), "ws")
+    return evaluate.token_diff(t.withColumn("text", F.when(C("i") % 5 == 0, F.concat("text", F.lit("~"))).otherwise(C("text"))), t)
+
+
+@query(TOK + VEC.replace("WITH ", ", ") + ", k AS (SELECT pos, (row_number() OVER (ORDER BY pos) - 1) AS vec_id FROM (SELECT DISTINCT pos FROM tok WHERE pos < 'P')) SELECT t.pos, round(coalesce(any_value(e.v[1]), 0), 6) + 0.0 AS x, count(*) AS n FROM tok t LEFT JOIN k ON t.pos = k.pos LEFT JOIN e ON e.vec_id = k.vec_id GROUP BY 1")
+def static_vectors(spark, sf_dir):
+    """Vectors by key, zeros outside the table: parts of speech stand for keys, and those from P on have no vector."""
+    t = tokens(spark, sf_dir).select(C("pos").alias("text"))
+    key = t.filter("text < 'P'").distinct().select(C("text").alias("key"), (F.row_number().over(Window.orderBy("text")) - 1).cast("long").alias("vec_id"))
+    table = key.join(vectors(spark, sf_dir).select("vec_id", "v"), "vec_id").select("key", "v")
+    v = kernels.static_vectors(t, table.withColumn("v", F.transform("v", lambda x: x.cast("double"))), 64)
+    return v.groupBy(C("text").alias("pos")).agg((F.round(F.first(C("v")[0]), 6) + 0.0).alias("x"), F.count("*").alias("n"))
