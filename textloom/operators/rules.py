@@ -85,11 +85,11 @@ def rule_lemmas(tokens: DataFrame, rules: DataFrame, index: DataFrame, exception
     """lemma by suffix rules: rules (pos, ord, old, new), index (pos, lemma), exceptions (pos, text, ord, lemma).
 
     Of the forms: exceptions come first, the last of them foremost, unless a rule made them too; then those in the index, the last rule
-    foremost; then those that are not alphabetic, in order; then the rest, the first foremost. Each distinct (text, pos, base) is worked
+    foremost; then those that are not alphabetic, in order; then the rest, the first foremost. Each distinct (text, pos, morph) is worked
     out once and joined back.
     """
-    t = tokens.withColumn("_low", F.lower("text")).withColumn("_pos", F.lower(F.coalesce("pos", F.lit("")))).withColumn("_base", is_base_form(F.col("pos"), F.col("morph")))
-    words = t.select("_low", "_pos", "_base", "text").distinct()
+    words = tokens.select("text", F.col("pos").alias("_p"), F.col("morph").alias("_m")).distinct()
+    words = words.withColumn("_low", F.lower("text")).withColumn("_pos", F.lower(F.coalesce("_p", F.lit("")))).withColumn("_base", is_base_form(F.col("_p"), F.coalesce("_m", F.lit(""))))
     known = rules.select("pos").union(index.select("pos")).union(exceptions.select("pos")).distinct().withColumnRenamed("pos", "_pos").withColumn("_known", F.lit(True))
     plain = F.col("_pos").isin("", "eol", "space") | F.col("_base")
     w = words.join(known, "_pos", "left")
@@ -103,5 +103,6 @@ def rule_lemmas(tokens: DataFrame, rules: DataFrame, index: DataFrame, exception
     found = work.select("_low", "_pos").distinct().join(found, ["_low", "_pos"]).join(made.filter("kind < 3").select("_low", "_pos", "form").distinct(), ["_low", "_pos", "form"], "left_anti").withColumn("kind", F.lit(0))
     best = made.unionByName(found).groupBy("_low", "_pos").agg(F.min_by("form", F.struct("kind", "ord")).alias("_form"))
     lemma = F.when(plain, F.col("_low")).when(F.col("_known").isNull(), F.when(F.col("_pos") == "propn", F.col("text")).otherwise(F.col("_low"))).otherwise(F.coalesce("_form", "text"))
-    solved = w.join(best, ["_low", "_pos"], "left").select("_low", "_pos", "_base", "text", lemma.alias("_new"))
-    return t.join(solved, ["_low", "_pos", "_base", "text"], "left").withColumn("lemma", _settled(F.col("_new"), overwrite)).select(*tokens.columns)
+    solved = w.join(best, ["_low", "_pos"], "left").select(F.col("text").alias("_t"), "_p", "_m", lemma.alias("_new"))
+    same = F.col("text").eqNullSafe(F.col("_t")) & F.col("pos").eqNullSafe(F.col("_p")) & F.col("morph").eqNullSafe(F.col("_m"))
+    return tokens.join(solved, same, "left").withColumn("lemma", _settled(F.col("_new"), overwrite)).select(*tokens.columns)
