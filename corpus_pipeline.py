@@ -37,9 +37,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).filter("_copies > 0").distinct()
-    each = docs.join(small(cut(taken)), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return each.withColumn("_k", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    each = mixing.mix(docs, keep=tuple(docs.columns)).filter("copies > 0")
+    return each.select("_kept", F.explode(F.sequence(F.lit(1), "copies"))).select("_kept.*")
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,9 +48,9 @@ def _rate(lam: Column, x: Column, cap: int) -> Column:
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, trials: int = 64, steps: int = 40, close: float = 1e-5,
+    weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP, trials: int = 64, steps: int = 40, close: float = 1e-5, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, size (long), source_size (long), target (double), rate (double), copies (int), taken (long).
+    """One row per input row: id, size (long), source_size (long), target (double), rate (double), copies (int), taken (long). With keep, also _kept, a struct of those columns.
 
     size: words of the text. A source wholly capped takes every document cap times; sources without words take nothing.
     Null sources are one source, the last; null or empty texts have size 0 and are taken 0 times; repeated rows (same id) are
@@ -79,12 +79,29 @@ def mix(
         ended = F.col("done") | (F.abs(off) <= close * F.greatest(F.col("target"), F.lit(1.0))) | (F.coalesce(F.col("slope"), F.lit(0.0)) <= 0)
         lam = F.when(ended, F.col("lam")).otherwise(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("lam") - off / F.greatest(F.col("slope"), F.lit(1e-300)))))
         state = cut(moved.select("key", "source_size", "n", "target", "mean", lam.alias("lam"), ended.alias("done")))
-    d = docs.alias("d").join(small(state, n_sources).alias("s"), F.col("d.key").eqNullSafe(F.col("s.key"))).select(
-        "_id", F.col("s.key").alias("key"), "size", "source_size", "target",
-        F.when(F.col("size") == 0, 0.0).when(F.col("s.target") >= cap * F.col("s.source_size") * (1 - 1e-9), float(cap)).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean"), cap)).alias("rate"))
-    copies = lambda trial: F.floor(F.col("rate") + (F.xxhash64(F.col("_id"), trial).bitwiseAND(F.lit(2**52 - 1)) / float(2**52))).cast("int")
+    d = _rated(docs, state, n_sources, cap)
     tried = d.filter(F.col("size") > 0).select("key", "target", "size", "_id", "rate", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    tried = tried.groupBy("key", "trial").agg(F.sum(F.col("size") * copies(F.col("trial"))).alias("got"), F.first("target").alias("target"))
-    best = cut(tried.groupBy("key").agg(F.min(F.struct(F.abs(F.col("got") - F.col("target")).alias("off"), "trial")).alias("b")).select(F.col("key").alias("k"), F.col("b.trial").alias("trial")))
-    out = d.join(small(best, n_sources), F.col("key").eqNullSafe(F.col("k")), "left").withColumn("copies", F.least(F.lit(cap), F.when(F.col("size") == 0, 0).otherwise(copies(F.coalesce(F.col("trial"), F.lit(0))))))
-    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    tried = tried.groupBy("key", "trial").agg(F.sum(F.col("size") * _copies(F.col("trial"), cap)).alias("got"), F.first("target").alias("target"))
+    best = tried.groupBy("key").agg(F.min(F.struct(F.abs(F.col("got") - F.col("target")).alias("off"), "trial")).alias("b")).select(F.col("key").alias("k"), F.col("b.trial").alias("trial"))
+    state = cut(state.join(small(cut(best), n_sources), F.col("key").eqNullSafe(F.col("k")), "left").drop("k"))
+    if keep:
+        # Columns stay with their rows: sizes are counted again, and only the sources' few numbers are joined.
+        docs = df.select(F.struct(*keep).alias("_kept"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("key"), F.size(words(text_col)).cast("long").alias("size"))
+    else:
+        docs = docs.withColumn("_kept", F.lit(None))
+    out = _rated(docs, state, n_sources, cap, "_kept", "trial").withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(_copies(F.coalesce(F.col("trial"), F.lit(0)), cap)))
+    made = out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "_kept")
+    return made if keep else made.drop("_kept")
+
+
+def _rated(docs: DataFrame, state: DataFrame, n_sources: int, cap: int, *more: str) -> DataFrame:
+    """docs (_id, key, size) with their source's numbers and their rate."""
+    full = F.col("s.target") >= cap * F.col("s.source_size") * (1 - 1e-9)
+    rate = F.when(F.col("size") == 0, 0.0).when(full, float(cap)).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean"), cap))
+    return docs.alias("d").join(small(state, n_sources).alias("s"), F.col("d.key").eqNullSafe(F.col("s.key"))).select("_id", F.col("s.key").alias("key"), "size", "source_size", "target", rate.alias("rate"), *more)
+
+
+def _copies(trial: Column, cap: int) -> Column:
+    """The rate rounded down or up, by a number in [0, 1) that id and trial fix."""
+    u = F.xxhash64(F.col("_id"), trial).bitwiseAND(F.lit(2**52 - 1)) / float(2**52)
+    return F.least(F.lit(cap), F.floor(F.col("rate") + u).cast("int"))
