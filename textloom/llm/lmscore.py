@@ -63,7 +63,7 @@ def _map(bits: int):
             known, has = np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8)
             rows = [(-1 - number, number, squeeze(pack(known) + has.tobytes()), squeeze(pack(sizes)), squeeze(pack(word.astype(np.uint32))))]
             for b, k in bucket_rows(grams, bits):
-                rows.append((b, number, pack(grams[k]), pack(counts[k]), pack(np.diff(k, prepend=0).astype(np.uint32))))
+                rows.append((b, number, pack(grams[k]), squeeze(pack(counts[k])), squeeze(pack(np.diff(k, prepend=0).astype(np.uint32)))))
             for k in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 16]), (pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["key", "block", "x", "y", "z"])
 
@@ -74,14 +74,17 @@ def _count(key, t):
     """Of a partition of the table: each block's n-grams with the corpus counts. A block's own row passes."""
     if key[0].as_py() < 0:
         return t.drop_columns(["key"]).append_column("own", pa.array([True]))
+    import zstandard
+
+    open_, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
     each = [unpack(x, "<u8") for x in t.column("x").to_pylist()]
-    counts = [unpack(x, "<u4") for x in t.column("y").to_pylist()]
+    counts = [unpack(open_(x), "<u4") for x in t.column("y").to_pylist()]
     table, at = np.unique(np.concatenate(each), return_inverse=True)
     total = np.zeros(len(table), np.int64)
     np.add.at(total, at, np.concatenate(counts))
     back = np.split(total[at], np.cumsum([len(x) for x in each])[:-1])
     # The n-grams' numbers return with them; counts are small: the planes above the first compress away.
-    return pa.table({"block": t.column("block"), "x": pa.array([pack(x) for x in back], pa.binary()), "y": pa.array([b""] * len(back), pa.binary()), "z": t.column("z"), "own": pa.array([False] * len(back))})
+    return pa.table({"block": t.column("block"), "x": pa.array([squeeze(pack(x)) for x in back], pa.binary()), "y": pa.array([b""] * len(back), pa.binary()), "z": t.column("z"), "own": pa.array([False] * len(back))})
 
 
 def _score(backoff: float):
@@ -101,7 +104,7 @@ def _score(backoff: float):
         corpus = np.zeros(n_words + len(pairs), np.int64)
         for r in rows:
             if not r["own"]:
-                corpus[np.cumsum(unpack(r["z"], "<u4").astype(np.int64))] = unpack(r["x"], "<i8")
+                corpus[np.cumsum(unpack(open_(r["z"]), "<u4").astype(np.int64))] = unpack(open_(r["x"]), "<i8")
         doc = np.repeat(np.arange(len(sizes)), sizes)
         at = np.nonzero(~first)[0]
         c1 = corpus[word] - _own(doc, word)
