@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 
-BLOCK_WORDS, KEPT_WORDS = 1_000_000, 1_000_000
+BLOCK_WORDS, KEPT_WORDS = 1_000_000, 250_000
 
 
 def pack(a: np.ndarray) -> bytes:
