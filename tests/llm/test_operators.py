@@ -77,6 +77,20 @@ def test_quality_outliers(spark):
     assert all(again[i]["distance"] == got[i]["distance"] for i, _ in rows)
 
 
+def test_quality_small_groups(spark):
+    """Groups too small for their own estimate are judged by their language, or by all rows: junk goes, plain documents stay, each has a distance."""
+    r = np.random.default_rng(0)
+    plain = [(k, made(100 + k, int(r.integers(80, 200))), "en", f"s{k % 20}") for k in range(120)] + [(500, made(400, 90), "de", "s1"), (501, made(401, 120), None, None)]
+    junk = [(200 + k, " ".join(x + "###" for x in made(300 + k, 90).split()), *g) for k, g in enumerate((("en", "s3"), ("en", "new"), ("de", "s1"), (None, None)))]
+    d = spark.createDataFrame(plain + junk, "doc_id long, text string, lang string, source string")
+    got = by_id(quality.quality_rules(d))
+    assert len(got) == len(plain + junk) and all(x["distance"] is not None and x["kept"] == (i not in range(200, 204)) for i, x in got.items())
+    # A group of its own estimate is not touched by the small ones beside it.
+    big = [(1000 + k, made(2000 + k, int(r.integers(80, 200))), "en", "big") for k in range(60)]
+    own, beside = (by_id(quality.quality_rules(spark.createDataFrame(x, d.schema))) for x in (big, big + plain + junk))
+    assert all(beside[i]["distance"] == own[i]["distance"] for i, *_ in big)
+
+
 def test_quality_estimate(spark):
     """Mean and covariance factor of a group's rows agree with numpy."""
     x = np.random.default_rng(1).integers(0, 5000, (200, 5))

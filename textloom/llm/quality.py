@@ -2,9 +2,10 @@
 
 Base rules drop documents with too few words or too many repeated ones. What
 passes them is judged by the minimum covariance determinant: per language and
-source, concentration steps look for the half of the documents (``support``)
-whose covariance is smallest, and a document is rejected if its squared
-Mahalanobis distance from that half's mean exceeds ``cutoff``. Everything is
+source (where these are few: per language, else over all rows), concentration
+steps look for the half of the documents (``support``) whose covariance is
+smallest, and a document is rejected if its squared Mahalanobis distance from
+that half's mean exceeds ``cutoff``. Everything is
 DataFrame expressions: counts are made inside the row, without a shuffle; each
 step is one aggregation of five statistics to a row per group.
 
@@ -104,6 +105,22 @@ def _fit(rows: DataFrame, keys: list[str], scale: Column) -> DataFrame:
     return g.select(*keys, "scale", *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)])
 
 
+def _pools(good: DataFrame, keys: list[str], min_group: int) -> tuple[DataFrame, int]:
+    """(keys, pool, into) a group, and their number. pool: the longest beginning of the group's keys that min_group rows share, else none of
+    them, which stands for all rows. into: the pools in use that hold the group; at most one more than there are keys.
+    """
+    prefix = lambda k: F.slice(F.array(*keys).cast("array<string>"), 1, k)
+    sizes = cut(good.groupBy(*keys).agg(F.count("*").alias("n")))
+    n_groups = sizes.count()
+    each = sizes.select(*keys, "n", F.posexplode(F.array(*[prefix(k) for k in range(len(keys) + 1)])).alias("depth", "key"))
+    shared = cut(each.groupBy("depth", "key").agg(F.sum("n").alias("total")).filter((F.col("total") >= min_group) | (F.col("depth") == 0)).select("key"))
+    held = each.join(small(shared), "key").select(*keys, "depth", "key")
+    chosen = cut(held.groupBy(*keys).agg(F.max("depth").alias("depth")).select(*keys, F.slice(F.array(*keys).cast("array<string>"), F.lit(1), F.col("depth")).alias("pool")))
+    used = cut(chosen.select(F.col("pool").alias("key")).distinct())
+    into = each.join(small(used), "key").groupBy(*keys).agg(F.collect_set("key").alias("into"))
+    return cut(chosen.join(small(into, n_groups), keys)), n_groups
+
+
 def quality_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"),
     min_words: int = 50, max_repeat_pct: int = 50, support: float = 0.75, steps: int = 3, cutoff: float = 30.0, min_group: int = 40,
@@ -111,10 +128,11 @@ def quality_rules(
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, distance (double), kept.
 
     base_failed: n_words < min_words, or 100 * n_repeat_words > max_repeat_pct * n_words. kept: not base_failed and
-    distance <= cutoff. The estimate of a group covers its rows that passed the base rules; a group of fewer than
-    min_group such rows has no estimate: its distance is null and its rows stay. Null group values form a group of
-    their own; null or empty texts have no words and fail; repeated rows, or rows with a null id, are each judged;
-    an empty table gives an empty result; further columns are ignored.
+    distance <= cutoff; only rows that fail the base rules have a null distance. The estimate of a group covers its
+    rows that passed the base rules; a group of fewer than min_group such rows is judged by the estimate over all rows
+    with its first group columns (its language in all sources), as many of them as leave min_group rows, or over all
+    rows. Null group values form a group of their own; null or empty texts have no words and fail; repeated rows, or
+    rows with a null id, are each judged; an empty table gives an empty result; further columns are ignored.
     """
     keys = [f"_g{k}" for k in range(len(group_cols))]
     named = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")).alias(k) for g, k in zip(group_cols, keys)])
@@ -123,9 +141,13 @@ def quality_rules(
     rows = cut(c.select("*", failed.alias("base_failed"), *statistics(c)))
     p = range(len(STATS))
     good = rows.filter(~F.col("base_failed")).select(*keys, *[f"s{i}" for i in p])
+    pool_of, n_keys = _pools(good, keys, min_group)
+    # Each row once for every estimate that takes it in: its own group's, and those of the pools above that small groups need.
+    good = cut(good.join(small(pool_of, n_keys), keys).select(F.explode("into").alias("pool"), *[f"s{i}" for i in p]))
+    keys, of = ["pool"], keys
     # Start: medians and median absolute deviations, exact because the grid bounds the distinct values.
     mid = lambda c: F.percentile(c, F.lit(0.5))
-    center = cut(good.groupBy(*keys).agg(F.count("*").alias("n"), *[mid(F.col(f"s{i}")).alias(f"m{i}") for i in p]).filter(F.col("n") >= min_group))
+    center = cut(good.groupBy(*keys).agg(*[mid(F.col(f"s{i}")).alias(f"m{i}") for i in p]))
     n_groups = center.count()
     spread = good.join(small(center, n_groups), keys).groupBy(*keys).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in p], *[mid(F.abs(F.round(F.col(f"s{i}") - F.col(f"m{i}"))).cast("int")).alias(f"d{i}") for i in p])
     sd = [F.sqrt(F.pow(F.col(f"d{i}") * 1.4826 / GRID, 2) + FLOOR[i] ** 2) for i in p]
@@ -140,7 +162,8 @@ def quality_rules(
     far = good.join(small(state, n_groups), keys).select(*keys, F.greatest(level, F.lit(-512)).alias("level"))
     rank = far.groupBy(*keys).agg(F.greatest(F.pow(F.lit(2.0), F.percentile("level", F.lit(0.5)) / 32) / 4.35, F.lit(1.0)).alias("wide"))
     final = cut(state.join(small(rank, n_groups), keys))
-    judged = rows.join(small(final, n_groups), keys, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("wide")))
+    fits = pool_of.select(*of, "pool").join(small(final, n_groups), keys)
+    judged = rows.join(small(fits, n_keys), of, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("wide")))
     return judged.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))
+        (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(False))).alias("kept"))
