@@ -346,6 +346,22 @@ def test_pii_field():
     assert pii.spans_of("In 2019 it cost $12.50, see version 2.0.1 of May.", model)[1] == []
 
 
+def added(text):
+    """The texts and kinds of the spans found."""
+    return [(text[a:b], pii.KINDS[k]) for a, b, k in pii.spans_of(text, pii.field())[1]]
+
+
+def test_pii_whole_spans():
+    """Spans end where they end, also when only one of their chunks is a trigger."""
+    assert added("please write to john_doe [at] mail [dot] com now, thank you") == [("john_doe [at] mail [dot] com", "email")]
+    assert added("write to john [at] mail [dot] com now") == [("john [at] mail [dot] com", "email")]
+    assert added("mail x [at] y dot com now") == [("x [at] y dot com", "email")]
+    assert added("please write to john_doe[at]mail dot com now, thank you") == [("john_doe[at]mail dot com", "email")]
+    text = " ".join(f"w{chr(97 + k)}" for k in range(14)) + " x[at]y " + " ".join(f"v{chr(97 + k)}" for k in range(14))
+    (a, b), = pii.windows(text)
+    assert len(text[:a].split()) == 14 - pii.CONTEXT and len(text[b:].split()) == 14 - pii.CONTEXT and 2 * pii.CONTEXT >= pii.MAX_PIECES
+
+
 def test_pii(docs, empty):
     got = by_id(pii.find_pii(docs))
     for i, t in TEXTS:

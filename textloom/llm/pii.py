@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 KINDS = ("email", "ip", "card", "phone")
-TRAINING, EPOCHS, MAX_PIECES, CONTEXT, MAX_WINDOW = 600, 4, 24, 2, 160
+TRAINING, EPOCHS, MAX_PIECES, MAX_WINDOW = 600, 4, 24, 160
+#: Chunks on both sides of a trigger: a segment has blanks between its chunks, so at most this many, and the one behind it is its neighbour.
+CONTEXT = (MAX_PIECES + 1) // 2
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
