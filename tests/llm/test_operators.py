@@ -362,6 +362,13 @@ def test_pii_whole_spans():
     assert len(text[:a].split()) == 14 - pii.CONTEXT and len(text[b:].split()) == 14 - pii.CONTEXT and 2 * pii.CONTEXT >= pii.MAX_PIECES
 
 
+def test_pii_spelled_out():
+    """Addresses without a digit, @ or bracket are found; at and dot as plain words are no address."""
+    assert added("mail john.doe at example dot com today") == [("john.doe at example dot com", "email")]
+    assert added("mail john.doe AT example\nDOT com today") == [("john.doe AT example\nDOT com", "email")]
+    assert added("look at the house and meet at noon. Stay at home") == [] and added("at noon") == [] and added("look at") == []
+
+
 def test_pii(docs, empty):
     got = by_id(pii.find_pii(docs))
     for i, t in TEXTS:

@@ -1,8 +1,8 @@
 """Personal data: exact base patterns, and a semi-Markov conditional random field that adds spans.
 
 Base: e-mail addresses, IPv4 addresses, card and phone numbers as written down
-in ``base_spans``. The field looks at the windows around digits, ``@`` and
-``[at]``; its segments are runs of pieces (letters, digits, single characters)
+in ``base_spans``. The field looks at the windows around digits, ``@``,
+``[at]`` and the words ``at`` and ``dot``; its segments are runs of pieces (letters, digits, single characters)
 of bounded length, its features those of whole segments (digit counts, check
 digit, shape, separators, neighbours), and dynamic programming over the pieces
 chooses boundaries and kinds together. It finds what the patterns miss: written
@@ -81,7 +81,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _piece = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S).finditer
 _chunk = re.compile(r"\S+").finditer
 _trigger = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I).search
-_mail_shape = re.compile(r"[\w.+-]+\s?[(\[]?(?:@|\bat\b)[)\]]?\s?[\w-]+(?:\s?[(\[]?(?:\.|\bdot\b)[)\]]?\s?[\w-]+)+", re.I).fullmatch
+#: at or dot as a word between two others, as in an address spelled out.
+_spelled = re.compile(r"(?<=[\w.+-])\s+(at|dot)(?=\s+\w)", re.I).finditer
+_mail_shape = re.compile(r"[\w.+-]+\s?[(\[]?(?:@|\bat\b)[)\]]?\s?[\w-]+(?:(?:\.|\s?[(\[]\.[)\]]\s?|\s?[(\[]?\bdot\b[)\]]?\s?)[\w-]+)+", re.I).fullmatch
 _quad_shape = re.compile(r"\d{1,3}(?:\s?[(\[]?(?:\.|\bdot\b)[)\]]?\s?\d{1,3}){3}", re.I).fullmatch
 _phone_shape = re.compile(r"(?:00\d{1,2}[ .-])?\(?\d{3}\)?[ .-]{1,2}\d{3}[ .-]\d{4}").fullmatch
 _card_shape = re.compile(r"\d{4}(?:[ ._/-]{1,2}\d{4}){2}[ ._/-]{1,2}\d{2,7}").fullmatch
@@ -89,13 +91,14 @@ _card_shape = re.compile(r"\d{4}(?:[ ._/-]{1,2}\d{4}){2}[ ._/-]{1,2}\d{2,7}").fu
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """[start, end) around the chunks that may hold something, with CONTEXT chunks on both sides; overlapping ones are one."""
-    if not _trigger(text):
+    spelled = {m.start(1) for m in _spelled(text)}
+    if not spelled and not _trigger(text):
         return
     before: list[tuple[int, int]] = []
     start = end = None
     left = 0
     for m in _chunk(text):
-        if _trigger(m[0]):
+        if m.start() in spelled or _trigger(m[0]):
             if start is None:
                 start = before[0][0] if before else m.start()
             end, left = m.end(), CONTEXT
