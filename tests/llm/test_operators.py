@@ -369,6 +369,13 @@ def test_pii_spelled_out():
     assert added("look at the house and meet at noon. Stay at home") == [] and added("at noon") == [] and added("look at") == []
 
 
+def test_pii_long_windows():
+    """No span is lost or cut wherever it lies in a long window of triggers."""
+    for shift in range(24):
+        text = "n " * shift + "; ".join(["call (555) 123 4567 at home"] * 60)
+        assert added(text) == [("(555) 123 4567", "phone")] * 60, shift
+
+
 def test_pii(docs, empty):
     got = by_id(pii.find_pii(docs))
     for i, t in TEXTS:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 KINDS = ("email", "ip", "card", "phone")
-TRAINING, EPOCHS, MAX_PIECES, MAX_WINDOW = 600, 4, 24, 160
+TRAINING, EPOCHS, MAX_PIECES = 600, 4, 24
 #: Chunks on both sides of a trigger: a segment has blanks between its chunks, so at most this many, and the one behind it is its neighbour.
 CONTEXT = (MAX_PIECES + 1) // 2
 
@@ -84,6 +84,8 @@ _trigger = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I).search
 #: at or dot as a word between two others, as in an address spelled out.
 _spelled = re.compile(r"(?<=[\w.+-])\s+(at|dot)(?=\s+\w)", re.I).finditer
 _mail_shape = re.compile(r"[\w.+-]+\s?[(\[]?(?:@|\bat\b)[)\]]?\s?[\w-]+(?:(?:\.|\s?[(\[]\.[)\]]\s?|\s?[(\[]?\bdot\b[)\]]?\s?)[\w-]+)+", re.I).fullmatch
+_DIGITS = frozenset("0123456789")
+_letters_at = re.compile("at", re.I).search
 _quad_shape = re.compile(r"\d{1,3}(?:\s?[(\[]?(?:\.|\bdot\b)[)\]]?\s?\d{1,3}){3}", re.I).fullmatch
 _phone_shape = re.compile(r"(?:00\d{1,2}[ .-])?\(?\d{3}\)?[ .-]{1,2}\d{3}[ .-]\d{4}").fullmatch
 _card_shape = re.compile(r"\d{4}(?:[ ._/-]{1,2}\d{4}){2}[ ._/-]{1,2}\d{2,7}").fullmatch
@@ -121,38 +123,80 @@ def _char(c: str) -> str:
     return "d" if c.isdigit() else "a" if c.isalpha() else "s" if c.isspace() else c if c in "@.-+()[]" else "o"
 
 
-def segments(text: str) -> tuple[list[int], list[tuple[int, int]], list[list[str]]]:
-    """Piece bounds of a window; candidate (first, last + 1) pieces; features of each. A single piece may be outside all spans."""
+def candidates(text: str) -> tuple[list[int], Iterator[tuple[int, int, tuple]]]:
+    """Piece bounds of a window; candidate (first, last + 1) pieces by first, then last, each with what its features depend on."""
     bounds = [m.start() for m in _piece(text)] + [len(text)]
     n = len(bounds) - 1
     kind = [_char(text[b]) for b in bounds[:-1]]
-    spans, feats = [], []
-    for i in range(n):
-        spans.append((i, i + 1))
-        feats.append(["out", "out:" + kind[i]])
-        if kind[i] not in "da+([":
-            continue
-        for j in range(i + 1, min(n, i + MAX_PIECES) + 1):
-            if kind[j - 1] not in "da":
-                continue
-            s = text[bounds[i]:bounds[j]]
-            d = _digits("", s)
-            if len(d) < 4 and "@" not in s and "at" not in s.lower():
+
+    def run() -> Iterator[tuple[int, int, tuple]]:
+        at = -1
+        for i in range(n):
+            yield i, i + 1, (kind[i],)
+            if kind[i] not in "da+([":
                 continue
-            k = kind[i:j]
-            f = ["bias", "digits:" + _bucket(len(d)), "first:" + k[0], "last:" + k[-1], "left:" + (_char(text[bounds[i] - 1]) if bounds[i] else "^"), "right:" + (_char(text[bounds[j]]) if bounds[j] < len(text) else "$"), "letters:" + str(min(3, k.count("a"))), "spaces:" + str(min(4, k.count("s"))), "odd:" + str(min(2, k.count("o")))]
-            f.append("paired:" + str(s.count("(") == s.count(")") and s.count("[") == s.count("]")))
-            f += ["has:" + c for c in "@.-+()[]" if c in s]
-            for name, shape in (("mail", _mail_shape), ("quad", _quad_shape), ("phone", _phone_shape), ("card", _card_shape)):
-                if shape(s):
-                    f.append("shape:" + name)
-            if "shape:quad" in f:
-                f.append("quad:" + str(all(int(x) <= 255 for x in re.findall(r"\d+", s))))
-            if 14 <= len(d) <= 19:
-                f.append("luhn:" + str(luhn(d)))
-            spans.append((i, j))
-            feats.append(f)
-    return bounds, spans, feats
+            if at < bounds[i] and (m := _letters_at(text, bounds[i])):
+                at = m.start()
+            elif at < bounds[i]:
+                at = len(text)
+            left = _char(text[bounds[i] - 1]) if bounds[i] else "^"
+            digits = numbers = letters = blanks = odd = round_ = square = 0
+            marks, mail, dot = "", False, False
+            for j in range(i, min(n, i + MAX_PIECES)):
+                c = kind[j]
+                if c == "d":
+                    size = bounds[j + 1] - bounds[j]
+                    numbers += size
+                    digits += size if text[bounds[j]] in _DIGITS else 0
+                elif c == "a":
+                    letters += 1
+                    low = text[bounds[j]:bounds[j + 1]].lower() if bounds[j + 1] - bounds[j] in (2, 3) else ""
+                    mail, dot = mail or low == "at", dot or low == "dot"
+                elif c == "s":
+                    blanks += 1
+                elif c == "o":
+                    odd += 1
+                else:
+                    marks += "" if c in marks else c
+                    round_ += (c == "(") - (c == ")")
+                    square += (c == "[") - (c == "]")
+                if c not in "da" or digits < 4 and "@" not in marks and at + 2 > bounds[j + 1]:
+                    continue
+                s = text[bounds[i]:bounds[j + 1]]
+                # A shape is tried where what it needs is there.
+                shapes = ""
+                if (mail or "@" in marks) and (dot or "." in marks) and _mail_shape(s):
+                    shapes += "m"
+                if 4 <= numbers <= 12 and (dot or "." in marks) and _quad_shape(s):
+                    shapes += "q" if all(int(x) <= 255 for x in re.findall(r"\d+", s)) else "Q"
+                if 10 <= numbers <= 14 and _phone_shape(s):
+                    shapes += "p"
+                if 14 <= numbers <= 19 and _card_shape(s):
+                    shapes += "c"
+                check = luhn(_digits("", s)) if 14 <= digits <= 19 else None
+                right = _char(text[bounds[j + 1]]) if bounds[j + 1] < len(text) else "$"
+                yield i, j + 1, (min(20, digits), kind[i], c, left, right, min(3, letters), min(4, blanks), min(2, odd), round_ == square == 0, marks, shapes, check)
+
+    return bounds, run()
+
+
+def features(key: tuple) -> list[str]:
+    if len(key) == 1:
+        return ["out", "out:" + key[0]]
+    digits, first, last, left, right, letters, blanks, odd, paired, marks, shapes, check = key
+    f = ["bias", "digits:" + _bucket(digits), "first:" + first, "last:" + last, "left:" + left, "right:" + right, f"letters:{letters}", f"spaces:{blanks}", f"odd:{odd}", f"paired:{paired}"]
+    f += ["has:" + c for c in "@.-+()[]" if c in marks]
+    f += ["shape:" + name for name in ("mail", "quad", "phone", "card") if name[0] in shapes.lower()]
+    if "shape:quad" in f:
+        f.append(f"quad:{'q' in shapes}")
+    return f if check is None else [*f, f"luhn:{check}"]
+
+
+def segments(text: str) -> tuple[list[int], list[tuple[int, int]], list[list[str]]]:
+    """Piece bounds of a window; candidate (first, last + 1) pieces; features of each. A single piece may be outside all spans."""
+    bounds, each = candidates(text)
+    each = list(each)
+    return bounds, [(i, j) for i, j, _ in each], [features(key) for *_, key in each]
 
 
 class Field:
@@ -160,6 +204,7 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray):
         self.names, self.weights = names, weights
+        self._best: dict[tuple, tuple[int, float]] = {}
 
     def rows(self, feats: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         known = [[k for x in f if (k := self.names.get(x)) is not None] or [len(self.names)] for f in feats]
@@ -174,24 +219,29 @@ class Field:
         s[~out, 0] = -1e9
         return s
 
+    def best(self, key: tuple) -> tuple[int, float]:
+        """Label and score of a segment; remembered, as few keys make up most segments."""
+        if key not in self._best:
+            if len(self._best) >= 200_000:
+                self._best.clear()
+            s = self.scores([features(key)])[0]
+            self._best[key] = int(s.argmax()), float(s.max())
+        return self._best[key]
+
     def decode(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, kind) of the best segmentation of a window."""
-        bounds, spans, feats = segments(text)
-        if not spans:
-            return []
-        s = self.scores(feats)
-        label, top = s.argmax(1), s.max(1)
+        """(start, end, kind) of the best segmentation of a window of any length: segments come by their first piece, whose best is then settled."""
+        bounds, each = candidates(text)
         n = len(bounds) - 1
-        best, back = [0.0] + [-1e18] * n, [0] * (n + 1)
-        for k in sorted(range(len(spans)), key=lambda k: spans[k][1]):
-            i, j = spans[k]
-            if best[i] + top[k] > best[j]:
-                best[j], back[j] = best[i] + top[k], k
+        score, back = [0.0] + [-1e18] * n, [(0, 0)] * (n + 1)
+        for i, j, key in each:
+            label, top = self.best(key)
+            if score[i] + top > score[j]:
+                score[j], back[j] = score[i] + top, (i, label)
         found, j = [], n
         while j:
-            i = spans[back[j]][0]
-            if label[back[j]]:
-                found.append((bounds[i], bounds[j], int(label[back[j]]) - 1))
+            i, label = back[j]
+            if label:
+                found.append((bounds[i], bounds[j], label - 1))
             j = i
         return found[::-1]
 
@@ -289,15 +339,7 @@ def spans_of(text: str, model: Field) -> tuple[list[tuple[int, int, int]], list[
     base = base_spans(text)
     more = []
     for a, b in windows(text):
-        # Very long windows go in parts; a part starts where no base span runs on.
-        while a < b:
-            ends = [m.end() for m, _ in zip(_piece(text, a, b), range(MAX_WINDOW))]
-            z = ends[-1]
-            if z < b:
-                blank = text.rfind(" ", a + 1, z)
-                z = blank if blank > a else z
-            more += [(a + i, a + j, k) for i, j, k in model.decode(text[a:z])]
-            a = z
+        more += [(a + i, a + j, k) for i, j, k in model.decode(text[a:b])]
     if base and more:
         taken = np.array(sorted(base))
         more = [x for x in more if not np.any((taken[:, 0] < x[1]) & (taken[:, 1] > x[0]))]
