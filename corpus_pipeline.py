@@ -1,9 +1,8 @@
 """A corpus from raw documents to shards: five stages over the columns of ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns they were given. doc_id identifies a document until the
-mixing stage, which repeats rows; a row with a null doc_id is judged with all
-others of that kind.
+return the columns they were given. The stages that reject judge each row by
+itself, whatever its doc_id: null or repeated ones are rows like any other.
 """
 
 from __future__ import annotations
@@ -15,24 +14,33 @@ from textloom.llm import decontaminate, mixing, quality, sharding, simhash
 from textloom.llm.common import cut, small, table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids: few ids are broadcast, so that texts stay where they are; many are joined."""
-    gone = small(cut(ids.select(F.col("doc_id").alias("_gone")).distinct()))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of its own for each row. Written, so that every later read sees the same numbers."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """keyed without the given _row, and without that column: few rows are broadcast, so that texts stay where they are; many are joined."""
+    return keyed.join(small(cut(rows.select("_row"))), "_row", "left_anti").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.quality_rules(docs).filter(~F.col("kept")))
+    keyed = _keyed(docs)
+    return _without(keyed, quality.quality_rules(keyed, "_row").filter(~F.col("kept")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
-    return _without(docs, simhash.near_duplicates(docs).filter("doc_id > component_id or doc_id is null and component_id is not null"))
+    """One row of each component stays: that with the smallest id, null ids last; of rows with that id, the first."""
+    keyed = _keyed(docs)
+    ranked = keyed.withColumn("_rank", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
+    found = simhash.near_duplicates(ranked, "_rank")
+    return _without(keyed, found.filter(F.col("_rank.row") != F.col("component_id.row")).select(F.col("_rank.row").alias("_row")))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return _without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    keyed = _keyed(docs)
+    return _without(keyed, decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), "_row").filter("contaminated"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,18 @@ def test_stages(spark, tmp_path):
     words = sum(len(WORDS(text[i])) * n for i, n in sets[3].items()) / sum(len(WORDS(text[i])) for i in sets[2])
     assert abs(words - 1.5) < 0.05 and sets[4] == sets[3]
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == sets[4]
+
+
+def test_rows_by_themselves(spark, tmp_path):
+    """Rows with a null or repeated doc_id are rejected one by one; of a component exactly one row stays."""
+    good = [made(1000 + k, 90) for k in range(4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    kept = lambda df: Counter(tuple(r) for r in df.select("doc_id", "text").collect())
+    spark.createDataFrame([(1, LOREM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, good[0]), (None, "too short"), (7, good[1]), (7, "too short")]
+    assert kept(corpus_pipeline.quality_stage(spark, frame(rows), str(tmp_path))) == Counter([rows[0], rows[2]])
+    rows = [(None, good[0]), (None, good[0]), (None, good[1]), (5, good[1]), (6, good[2]), (6, good[2]), (6, good[3])]
+    assert kept(corpus_pipeline.near_dedup_stage(spark, frame(rows), str(tmp_path))) == Counter([rows[0], rows[3], rows[4], rows[6]])
+    rows = [(None, good[0]), (None, LOREM), (7, good[1]), (7, LOREM)]
+    assert kept(corpus_pipeline.decontaminate_stage(spark, frame(rows), str(tmp_path))) == Counter([rows[0], rows[2]])
