@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -286,6 +288,41 @@ def test_coder_learns():
         coder.encode(np.array([65536]))
 
 
+def test_coder_blocks():
+    """Blocks stand alone; every changed byte is seen; a source of 6 bits an id takes little more."""
+    ids = np.random.default_rng(1).integers(0, 64, 60_000)
+    data = coder.encode(ids, 25_000)
+    assert (coder.decode(data) == ids).all() and len(data) * 8 < 6.4 * len(ids)
+    for k in [*range(12, 60), *range(60, len(data), 997)]:
+        with pytest.raises(ValueError):
+            coder.decode(data[:k] + bytes([data[k] ^ 4]) + data[k + 1:])
+    for k in (3, 20, 5000, len(data) - 1):
+        with pytest.raises(ValueError):
+            coder.decode(data[:k] if k > 12 else b"TLC" + data[4:])
+
+
+def test_byte_bpe():
+    """Against the library, on texts of pieces that meet in all ways."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    here, lib = tokenfile.encoder(path), tokenizers.Tokenizer.from_file(path)
+    r = random.Random(5)
+    plain = ["a", "b", "the", " ", " ", "  ", "\n", "\t", "'s", "'re", "'", "\u2019", "é", "ß", "ñ", "123", "4", "²", "!!", "<|", "'ll", "'LL", "don't", "\r\n", "x" * 70, "0" * 20, "\u2014", "\0", "\0\0", "\u01c5", "½", "interoperability", "Donaudampfschiff"]
+    odd = ["日本", "\u00a0", "\u2003", "\x1c", "\x85", "a\u0300", "<|endoftext|>", "😀"]
+    for pieces in (plain, plain + odd):
+        texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [None, ""]
+        for t, got in zip(texts, here.ids(pa.array(texts))):
+            assert got.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+    assert here.ids(pa.array(["a b", "c"] * 5)[3:5])[1].tolist() == lib.encode("a b").ids and here.ids(pa.array([], pa.string())) == []
+
+
+def test_token_files_repeats(spark):
+    """Rows that share an id, or are null there, come in the order of their text's hash, on every run."""
+    rows = [(5, made(k % 7, 20)) for k in range(40)] + [(None, made(k % 5, 9)) for k in range(30)] + [(2**40, "z")]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    runs = [sorted((r["start"], r["n_tokens"], r["ids_crc32"], r["doc_id"] or 0) for r in tokenfile.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), path, part_bytes=600).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 71 and [a[0] + a[1] for a in runs[0][:-1]] == [a[0] for a in runs[0][1:]]
+
+
 def test_token_files(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     odd = [(20, "  a\n\n b <|endoftext|> c\t"), (21, " x"), (22, "x "), (23, "é ü don't  ")]

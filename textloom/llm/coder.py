@@ -1,16 +1,20 @@
 """Adaptive context-mixing range coder for token ids below 65536.
 
 Ids are cut into blocks that start from nothing and carry a CRC-32, so each can
-be decoded alone. Many blocks are coded side by side, one in each lane of numpy
-arrays; every number is an integer, so all machines agree.
-
-An id is first predicted from the two ids before it (order 2) and from the one
-before it (order 1), each by the id that followed last time. Whether order 2 is
-right is a binary decision whose probability mixes, in the logistic domain with
-weights that learn, three adaptive estimates: by order 2's confidence, by order
-1's and whether they agree, and by the last outcomes. If it is wrong, whether
-order 1 is right is the next decision. Else the id follows by order 0: two
-nibbles by adaptive counts, and a byte.
+be decoded alone. A block is cut into lanes of equal length which are coded side
+by side, one id of each at a time; the lanes share the block's model, which
+learns after every such step. Every number is an integer, so all machines agree.
+
+Order 2 (the two ids before) and order 1 (the one before) each guess an id, by
+what followed lately, and know how sure they are. Two decisions are coded: is it
+order 2's guess, and if not, is it order 1's? The probability of each mixes, in
+the logistic domain with weights that learn, the estimates of all three orders:
+by order 2's sureness, by order 1's, and by how common the guessed id is (order
+0). An id that neither guesses is coded by order 0's adaptive frequencies; one
+that the block has not shown before is announced there and written out.
+
+All sureness and frequency classes are small, so a mixed probability depends on
+one of 1024 cells; cells are mixed anew every few steps and then looked up.
 """
 
 from __future__ import annotations
@@ -21,219 +25,261 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 2048
-MAGIC = b"TLC1"
-_T1, _T2, _TOP, _BOT = 11, 12, np.uint64(1 << 48), np.uint64(1 << 32)
-_STRETCH = np.array([round(math.log((p + 0.5) / (4096 - p - 0.5)) * 256) for p in range(4096)], np.int64)
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
+BLOCK, LANES, SHORTEST = 1 << 22, 8192, 512
+MAGIC = b"TLC2"
 _U = np.uint64
+#: Entries of the order-2 table, slots of order 0 and the pseudo id that announces a new id.
+_CONTEXTS, _SLOTS, _NEW = 19, 17, 65536
+_LEARN, _RENEW = 8, 32
+_STRETCH = np.array([round(math.log((p + 0.5) / (4096 - p - 0.5)) * 256) for p in range(4096)], np.int64)
+_SQUASH = np.array([round(65536 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], np.int64)
+#: What a wrong (even places) and a right guess (odd places) add to sureness; a wrong guess at sureness 0 or 1 is replaced, at sureness 1.
+_SURER = np.array([0, 1, 0, 1, -1, 1, -2, 1, -2, 1, -3, 1, -3, 1, -4, 0], np.int32)
+
+
+def _at(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """table[places], the places being known to be inside."""
+    return table.take(places, mode="clip")
+
+
+class _Decision:
+    """Mixed probabilities, of 65536, that a guess is right: cells by (own sureness, other's sureness, same guess, class of frequency)."""
+
+    SHAPE = (8, 8, 2, 8)
+
+    def __init__(self):
+        self.seen = np.zeros((*self.SHAPE, 2), np.int64)
+        self.weights = np.full((3, 2), 24000, np.int64)
+        self.learn(self.seen)
+
+    def learn(self, new: np.ndarray) -> None:
+        """new: how often each cell was wrong and right since the last time."""
+        if new.any():
+            n = new.sum(-1)
+            off = (new[..., 1] << 16) - n * self.mixed
+            total = np.maximum(1, n.sum((0, 1, 3)))
+            for k, s in enumerate(self.inputs):
+                self.weights[k] += ((off * s).sum((0, 1, 3)) >> 10) * 3 // total
+            self.weights = np.clip(self.weights, -200_000, 200_000)
+        self.seen += new - (self.seen >> 6)
+        by = [self.seen.sum(axes, keepdims=True) for axes in ((1, 3), (0, 3), (0, 1, 2))]
+        self.inputs = [_STRETCH[np.clip((4096 * x[..., 1] + 1024) // (x.sum(-1) + 4), 1, 4094)] for x in by]
+        dot = sum(w[:, None] * s for w, s in zip(self.weights, self.inputs)) >> 16
+        self.mixed = np.clip(_SQUASH[np.clip(dot, -2047, 2047) + 2047], 24, 65400)
 
 
 class _Model:
-    """Predictions and adaptive state of n lanes."""
-
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.id1, self.sure1 = np.full(n << _T1, -1, np.int32), np.zeros(n << _T1, np.int8)
-        self.id2, self.sure2 = np.full(n << _T2, -1, np.int32), np.zeros(n << _T2, np.int8)
-        self.pa, self.pb, self.pc = (np.full((n, k), 32768, np.int64) for k in (8, 16, 8))
-        self.p1 = np.full((n, 8), 32768, np.int64)
-        self.w = np.full((n, 3), 22000, np.int64)
-        self.high, self.low = np.full((n, 16), 4, np.int64), np.full((n * 16, 16), 4, np.int64)
-        self.c1, self.c2, self.hits = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def predict(self, on: np.ndarray) -> None:
-        """For the lanes on (the first ones): both predictions and the mixed probability, of 4096, that order 2 is right."""
-        k = len(on)
-        c1, c2 = self.c1[:k], self.c2[:k]
-        self.at1 = (on << _T1) + ((c1 * 40503 >> 3) & ((1 << _T1) - 1))
-        self.at2 = (on << _T2) + (((c1 * 2654435761 + c2 * 40503) >> 7) & ((1 << _T2) - 1))
-        self.g1, self.g2 = self.id1[self.at1], self.id2[self.at2]
-        self.s1, self.s2 = self.sure1[self.at1].astype(np.int64), self.sure2[self.at2].astype(np.int64)
-        self.ia, self.ib, self.ic = on * 8 + self.s2, on * 16 + self.s1 + 8 * (self.g1 == self.g2), on * 8 + self.hits[:k]
-        pa, pb, pc = self.pa.ravel(), self.pb.ravel(), self.pc.ravel()
-        self.st = np.stack([_STRETCH[pa[self.ia] >> 4], _STRETCH[pb[self.ib] >> 4], _STRETCH[pc[self.ic] >> 4]], 1)
-        dot = (self.st * self.w[:k]).sum(1) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-
-    def learn_flag(self, right: np.ndarray) -> None:
-        k = len(right)
-        bit = right.astype(np.int64)
-        self.w[:k] += self.st * ((bit << 12) - self.p)[:, None] >> 6
-        for table, at in ((self.pa, self.ia), (self.pb, self.ib), (self.pc, self.ic)):
-            flat = table.ravel()
-            now = flat[at]
-            flat[at] = np.clip(now + (((bit << 16) - now) >> 4), 64, 65472)
-        self.hits[:k] = (self.hits[:k] * 2 + bit) & 7
-
-    def learn_id(self, ids: np.ndarray) -> None:
-        k = len(ids)
-        for table, sure, at, guess in ((self.id1, self.sure1, self.at1, self.g1), (self.id2, self.sure2, self.at2, self.g2)):
-            same = guess == ids
-            s = sure[at]
-            sure[at] = np.where(same, np.minimum(s + 1, 7), s >> 1)
-            table[at] = np.where(same | (s < 2), ids, guess)
-        self.c2[:k], self.c1[:k] = self.c1[:k], ids
-
-
-def _add(counts: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> None:
-    counts[at, symbol] += 24
-    big = at[counts[at].sum(1) > 8000]
-    counts[big] = (counts[big] + 1) >> 1
-
-
-class _Coder:
-    """Range coders side by side; with words, decoders."""
-
-    def __init__(self, n: int, words: np.ndarray | None = None):
-        self.low, self.range = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
-        self.words = np.zeros((n, 2 * BLOCK + 64), np.uint16) if words is None else words
-        self.at, self.decoding = np.zeros(n, np.int64), words is not None
-        if self.decoding:
-            self.code = np.zeros(n, _U)
-            for _ in range(4):
-                self._shift(np.arange(n))
-
-    def _shift(self, on: np.ndarray) -> None:
-        if self.decoding:
-            self.code[on] = (self.code[on] << _U(16)) | self.words[on, self.at[on]].astype(_U)
-        else:
-            self.words[on, self.at[on]] = (self.low[on] >> _U(48)).astype(np.uint16)
-        self.at[on] += 1
-
-    def narrow(self, on: np.ndarray, start: np.ndarray, size: np.ndarray, part: np.ndarray) -> None:
-        """Lanes on take [start, start + size) of parts of their range."""
-        low = self.low[on] + part * start
-        rng = part * size
-        while True:
-            top = (low ^ (low + rng)) < _TOP
-            bot = ~top & (rng < _BOT)
-            move = top | bot
-            if not move.any():
-                break
-            rng = np.where(bot, (~low + _U(1)) & (_BOT - _U(1)), rng)
-            m = np.nonzero(move)[0]
-            self.low[on[m]] = low[m]
-            self._shift(on[m])
-            low[m] <<= _U(16)
-            rng[m] <<= _U(16)
-        self.low[on], self.range[on] = low, rng
-
-    def flag(self, on: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Codes bits whose probability of being set is p / 4096."""
-        part = self.range[on] >> _U(12)
-        p = p.astype(_U)
-        if self.decoding:
-            bit = self.code[on] - self.low[on] < part * p
-        self.narrow(on, np.where(bit, _U(0), p), np.where(bit, p, _U(4096) - p), part)
-        return bit
-
-    def symbol(self, on: np.ndarray, counts: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """Codes symbols by their counts, a row a lane."""
-        ends = np.cumsum(counts, 1)
-        part = self.range[on] // ends[:, -1].astype(_U)
-        if self.decoding:
-            v = np.minimum((self.code[on] - self.low[on]) // part, (ends[:, -1] - 1).astype(_U)).astype(np.int64)
-            symbol = (ends <= v[:, None]).sum(1)
-        row = np.arange(len(on))
-        size = counts[row, symbol]
-        self.narrow(on, (ends[row, symbol] - size).astype(_U), size.astype(_U), part)
-        return symbol
-
-    def byte(self, on: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        part = self.range[on] >> _U(8)
-        if self.decoding:
-            value = np.minimum((self.code[on] - self.low[on]) // part, _U(255)).astype(np.int64)
-        self.narrow(on, value.astype(_U), np.ones(len(on), _U), part)
-        return value
-
-    def finish(self) -> None:
-        for _ in range(4):
-            self._shift(np.arange(len(self.low)))
-            self.low <<= _U(16)
-
-
-def _run(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarray:
-    """Codes lanes of the given sizes, longest first; ids: (lanes, BLOCK), or None to decode them."""
-    n, most = len(sizes), int(sizes[0]) if len(sizes) else 0
-    model, known = _Model(n), ids is not None
-    out = ids if known else np.zeros((n, most), np.int64)
-    for t in range(most):
-        k = int(np.searchsorted(-sizes, -t, "left"))  # lanes longer than t
-        on = model.lane[:k]
-        model.predict(on)
-        now = out[:k, t]
-        right = coder.flag(on, model.p, now == model.g2 if known else None)
-        model.learn_flag(right)
-        if not known:
-            now[right] = model.g2[right]
-        rest = on[~right]
-        if len(rest):
-            at = rest * 8 + model.s1[rest]
-            p1 = model.p1.ravel()
-            ok = coder.flag(rest, np.clip(p1[at] >> 4, 1, 4095), now[rest] == model.g1[rest] if known else None)
-            p1[at] += ((ok.astype(np.int64) << 16) - p1[at]) >> 4
-            if not known:
-                now[rest[ok]] = model.g1[rest[ok]]
-            rest = rest[~ok]
+    """What a block's lanes share."""
+
+    def __init__(self, lanes: int):
+        self.e1, self.e2 = np.zeros(65536, np.int32), np.zeros(1 << _CONTEXTS, np.int32)
+        self.a, self.b = _Decision(), _Decision()
+        self.new_a, self.new_b = np.zeros(2048, np.int64), np.zeros(4096, np.int64)
+        self.counts, self.lately = np.zeros(_NEW + 1, np.int64), []
+        self.c1, self.c2, self.step = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), 0
+        self._renew()
+        self._probabilities()
+
+    def _probabilities(self) -> None:
+        self.pa = self.a.mixed.reshape(-1)
+        b = self.b.mixed.copy()
+        b[:, :, 1] = 0  # the same guess again
+        self.pb = b.reshape(-1)
+
+    def _renew(self) -> None:
+        """Order 0 from the ids that it coded: slots in proportion to counts, one at least for an id that was seen."""
+        if self.lately:
+            now = np.bincount(np.concatenate(self.lately), minlength=_NEW + 1)
+            self.counts += now
+            self.counts[_NEW] = now[_NEW]
+            self.lately = []
+        self.counts[_NEW] += 1
+        seen = self.counts > 0
+        size = seen + self.counts * ((1 << _SLOTS) - int(seen.sum())) // int(self.counts.sum())
+        size[_NEW] += (1 << _SLOTS) - int(size.sum())
+        self.start, self.size = (np.cumsum(size) - size).astype(_U), size.astype(_U)
+        self.slot = np.repeat(np.arange(_NEW + 1, dtype=np.int32), size)
+        # Classes of frequency by powers of four.
+        self.common = np.searchsorted(np.array([1, 2, 8, 32, 128, 512, 2048]), size, "right").astype(np.int32)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Guesses of order 2 and 1, and where their parts of 65536 end; the rest is order 0's."""
+        c1 = self.c1
+        self.at2 = ((c1 * 0x9E3779B1 + self.c2 * 0x85EBCA6B) >> 13) & ((1 << _CONTEXTS) - 1)
+        self.x1, self.x2 = _at(self.e1, c1), _at(self.e2, self.at2)
+        self.g1, self.g2 = g1, g2 = self.x1 >> 3, self.x2 >> 3
+        self.s1, self.s2 = s1, s2 = self.x1 & 7, self.x2 & 7
+        same = (g1 == g2).astype(np.int32) << 3
+        self.cell_a = (s2 << 7 | s1 << 4 | same) + _at(self.common, g2)
+        self.cell_b = (s1 << 7 | s2 << 4 | same) + _at(self.common, g1)
+        end_a = _at(self.pa, self.cell_a)
+        end_b = end_a + ((65536 - end_a) * _at(self.pb, self.cell_b) >> 16)
+        return g2, g1, end_a.view(_U), end_b.view(_U)
+
+    def learn(self, ids: np.ndarray, is2: np.ndarray, is12: np.ndarray, rest: np.ndarray) -> None:
+        """is2, is12: order 2, or one of both, was right; rest: what order 0 coded."""
+        t = self.step = self.step + 1
+        if t % 2 or t < _LEARN:  # the cells get by with every other step
+            self.new_a += np.bincount(self.cell_a << 1 | is2, minlength=2048)
+            self.new_b += np.bincount(self.cell_b << 2 | is12.astype(np.int32) << 1 | is2, minlength=4096)
         if len(rest):
-            v = now[rest]
-            high = coder.symbol(rest, model.high[rest], v >> 12 if known else None)
-            row = rest * 16 + high
-            low = coder.symbol(rest, model.low[row], v >> 8 & 15 if known else None)
-            last = coder.byte(rest, v & 255 if known else None)
-            _add(model.high, rest, high)
-            _add(model.low, row, low)
-            if not known:
-                now[rest] = high << 12 | low << 8 | last
-        model.learn_id(now)
-    return out
+            self.lately.append(rest)
+        fresh = (ids << 3 | 1).astype(np.int32)
+        for table, at, x, sure, right in ((self.e1, self.c1, self.x1, self.s1, self.g1 == ids), (self.e2, self.at2, self.x2, self.s2, is2)):
+            new = x + _at(_SURER, sure << 1 | right)
+            np.copyto(new, fresh, where=(sure < 2) & ~right)
+            table[at] = new
+        self.c2, self.c1 = self.c1, ids
+        if t % _LEARN == 0 or t < _LEARN:
+            self.a.learn(self.new_a.reshape(*_Decision.SHAPE, 2))
+            b = self.new_b.reshape(*_Decision.SHAPE, 4)
+            self.b.learn(np.stack([b[:, :, :, :, 0], b[:, :, :, :, 2]], -1) * np.array([1, 0])[:, None, None])
+            self._probabilities()
+            self.new_a[:] = self.new_b[:] = 0
+        if t % _RENEW == 0 or t & (t - 1) == 0:
+            self._renew()
+
+
+def _encode_block(ids: np.ndarray) -> bytes:
+    steps = max(SHORTEST, -(-len(ids) // LANES))
+    lanes = -(-len(ids) // steps)
+    padded = np.zeros(lanes * steps, np.int64)
+    padded[: len(ids)] = ids
+    rows = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    model, new = _Model(lanes), []
+    low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
+    # Words come out with their carries, which are passed on at the end.
+    words, n = np.zeros((steps + 2, lanes), _U), np.zeros(lanes, np.int64)
+    flat, number = words.reshape(-1), np.arange(lanes)
+
+    def add(on: np.ndarray | slice, more: np.ndarray) -> None:
+        now = low[on] + more
+        over = np.flatnonzero(now < more)
+        low[on] = now
+        if len(over):
+            over = over if isinstance(on, slice) else on[over]
+            flat[(n[over] - 1) * lanes + over] += _U(1)
+
+    for now in rows:
+        g2, g1, end_a, end_b = model.predict()
+        is2 = now == g2
+        is12 = is2 | (now == g1)
+        part = rng >> _U(16)
+        end_a *= part
+        end_b *= part
+        begin = np.where(is2, _U(0), np.where(is12, end_a, end_b))
+        rng = np.where(is2, end_a, np.where(is12, end_b, rng)) - begin
+        add(slice(None), begin)
+        on = np.flatnonzero(~is12)
+        symbol = now[on]
+        size = _at(model.size, symbol)
+        fresh = np.flatnonzero(size == 0)
+        if len(fresh):
+            new.append(symbol[fresh])
+            coded = symbol.copy()
+            coded[fresh] = _NEW
+            size[fresh] = model.size[_NEW]
+        else:
+            coded = symbol
+        part = rng[on] >> _U(_SLOTS)
+        add(on, part * _at(model.start, coded))
+        rng[on] = part * size
+        out = np.flatnonzero(rng < _U(1 << 32))
+        flat[n[out] * lanes + number[out]] = low[out] >> _U(32)
+        n[out] += 1
+        low[out] <<= _U(32)
+        rng[out] <<= _U(32)
+        model.learn(now, is2, is12, coded if not len(fresh) else np.concatenate([symbol, np.full(len(fresh), _NEW)]))
+    add(slice(None), np.full(lanes, 2**32 - 1, _U))
+    flat[n * lanes + number] = low >> _U(32)
+    n += 1
+    for k in range(int(n.max()) - 1, 0, -1):
+        words[k - 1] += words[k] >> _U(32)
+    used = np.arange(len(words))[None, :] < n[:, None]
+    data = words.T[used].astype("<u4").tobytes()
+    side = np.concatenate(new).astype("<u2").tobytes() if new else b""
+    lengths = n.astype("<u4").tobytes()
+    head = struct.pack("<IIIIII", len(ids), steps, lanes, len(data), len(side), zlib.crc32(ids.astype("<u4").tobytes()))
+    return head + struct.pack("<I", zlib.crc32(lengths, zlib.crc32(head))) + lengths + data + side
+
+
+def _decode_block(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The ids of the block at a place, and the place behind it."""
+    if len(data) < at + 28:
+        raise ValueError("a block is cut short")
+    total, steps, lanes, n_data, n_side, crc, head = struct.unpack_from("<IIIIIII", data, at)
+    if len(data) < at + 28 + 4 * lanes + n_data + n_side or zlib.crc32(data[at + 28:at + 28 + 4 * lanes], zlib.crc32(data[at:at + 24])) != head:
+        raise ValueError("a block is damaged")
+    at += 28
+    n = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
+    at += 4 * lanes
+    words = np.append(np.frombuffer(data, "<u4", n_data // 4, at), np.uint32(0)).astype(_U)
+    side = np.append(np.frombuffer(data, "<u2", n_side // 2, at + n_data), np.uint16(0)).astype(np.int64)
+    end = np.cumsum(n)
+    pos, zero, used = end - n, len(words) - 1, 0
+    out, model = np.zeros((steps, lanes), np.int64), _Model(lanes)
+    rng, code = np.full(lanes, 2**64 - 1, _U), np.zeros(lanes, _U)
+
+    def read(on: np.ndarray | slice) -> np.ndarray:
+        """The next word of these lanes; zeros follow a lane's last."""
+        p = pos[on]
+        got = _at(words, np.where(p < end[on], p, zero))
+        pos[on] = p + 1
+        return got
+
+    for _ in range(2):
+        code = code << _U(32) | read(slice(None))
+    for t in range(steps):
+        g2, g1, end_a, end_b = model.predict()
+        part = rng >> _U(16)
+        end_a *= part
+        end_b *= part
+        is2, is12 = code < end_a, code < end_b
+        begin = np.where(is2, _U(0), np.where(is12, end_a, end_b))
+        rng = np.where(is2, end_a, np.where(is12, end_b, rng)) - begin
+        code -= begin
+        now = np.where(is2, g2, g1).astype(np.int64)
+        on = np.flatnonzero(~is12)
+        part, c = rng[on] >> _U(_SLOTS), code[on]
+        coded = _at(model.slot, (c // np.maximum(part, _U(1))).view(np.int64)).astype(np.int64)
+        code[on] = c - part * _at(model.start, coded)
+        rng[on] = part * _at(model.size, coded)
+        fresh = np.flatnonzero(coded == _NEW)
+        rest = coded
+        if len(fresh):
+            coded = coded.copy()
+            coded[fresh] = _at(side, np.arange(used, used + len(fresh)))
+            used += len(fresh)
+            rest = np.concatenate([coded, np.full(len(fresh), _NEW)])
+        now[on] = coded
+        more = np.flatnonzero(rng < _U(1 << 32))
+        code[more] = code[more] << _U(32) | read(more)
+        rng[more] <<= _U(32)
+        out[t] = now
+        model.learn(now, is2, is12, rest)
+    ids = out.T.reshape(-1)[:total]
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("a block is damaged")
+    return ids, at + n_data + n_side
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The ids (any number of them) as one string: magic, block size, number of ids, then a CRC and a length for each block, then their words."""
+    """The ids (any number of them) as one string: magic, number of ids, then blocks, each with CRCs of its ids and of its head, its lanes' lengths and words, and its new ids."""
     ids = np.asarray(ids, np.int64)
     if len(ids) and not 0 <= ids.min() <= ids.max() < 65536:
         raise ValueError("ids must be below 65536")
-    head, streams = [], []
-    for a in range(0, len(ids), LANES * block):
-        part = ids[a:a + LANES * block]
-        n = -(-len(part) // block)
-        lanes = np.zeros((n, block), np.int64)
-        lanes.ravel()[: len(part)] = part
-        sizes = np.full(n, block)
-        sizes[-1] = len(part) - (n - 1) * block
-        coder = _Coder(n)
-        _run(sizes, coder, lanes)
-        coder.finish()
-        for k in range(n):
-            words = coder.words[k, : coder.at[k]].astype("<u2").tobytes()
-            head.append(struct.pack("<II", zlib.crc32(lanes[k, : sizes[k]].astype("<u4").tobytes()), len(words)))
-            streams.append(words)
-    return MAGIC + struct.pack("<IQ", block, len(ids)) + b"".join(head) + b"".join(streams)
+    return b"".join([MAGIC, struct.pack("<Q", len(ids)), *(_encode_block(ids[a:a + block]) for a in range(0, len(ids), block))])
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of encode(); a block that does not match its CRC raises ValueError."""
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
-    block, total = struct.unpack_from("<IQ", data, 4)
-    n = -(-total // block)
-    head = np.frombuffer(data, "<u4", 2 * n, 16).reshape(n, 2)
-    begin = 16 + 8 * n + np.concatenate([[0], np.cumsum(head[:, 1].astype(np.int64))])
-    out = []
-    for a in range(0, n, LANES):
-        z = min(n, a + LANES)
-        words = np.zeros((z - a, int(head[a:z, 1].max()) // 2 + 8), np.uint16)
-        for k in range(a, z):
-            words[k - a, : head[k, 1] // 2] = np.frombuffer(data, "<u2", head[k, 1] // 2, int(begin[k]))
-        sizes = np.full(z - a, block)
-        if z == n:
-            sizes[-1] = total - (n - 1) * block
-        ids = _run(sizes, _Coder(z - a, words), None)
-        for k in range(z - a):
-            one = ids[k, : sizes[k]]
-            if zlib.crc32(one.astype("<u4").tobytes()) != head[a + k, 0]:
-                raise ValueError(f"block {a + k} is damaged")
-            out.append(one)
+    (total,), at, out, got = struct.unpack_from("<Q", data, 4), 12, [], 0
+    while got < total:
+        ids, at = _decode_block(data, at)
+        if not len(ids):
+            raise ValueError("a block is damaged")
+        out.append(ids)
+        got += len(ids)
     return np.concatenate(out) if out else np.zeros(0, np.int64)

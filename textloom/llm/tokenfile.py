@@ -1,7 +1,7 @@
 """Token-ID output: documents, tokenized, in ascending order of id, as range-coded files.
 
-Documents are dealt out by ranges of their id, sorted, and packed into groups of
-about ``GROUP_IDS`` ids of whole documents. A group is one string: the documents'
+Documents are dealt out by ranges of their id, sorted, tokenized by ``bytebpe``
+and packed into groups of about ``GROUP_IDS`` ids of whole documents. A group is one string: the documents'
 ids and lengths, then the ids by ``coder``. Spark's writer puts the groups
 (part, group, ids, data) into the shared folder as files of binary rows, so that
 a task that is lost writes again and nothing half-written stays.
@@ -16,74 +16,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from . import coder
+from .bytebpe import ByteBPE
 from .common import shared_folder, small
 
-GROUP_IDS, KEPT_PIECES, PART_BYTES, END_ID = 4_000_000, 400_000, 32_000_000, 0
-
-
-class Encoder:
-    """Ids of whole texts, as the tokenizers library gives them for a byte-level BPE file.
-
-    A piece of text between spaces, with the space before it, is encoded as in any other text, for no pre-token of this
-    pattern reaches over it unless two white-space characters meet; such texts, and those with special strings, go to the library
-    whole. The ids of pieces met lately are kept.
-    """
-
-    def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.meets = regex.compile(r"\s\s").search
-        self.blank = regex.compile(r"\s").search
-        vocab = self.lib.get_vocab()
-        self.begins = np.zeros(max(vocab.values()) + 1, bool)
-        self.begins[[k for t, k in vocab.items() if t[0] == "Ġ"]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        """pieces begin with a space. All in one text; a piece begins where an id begins with a space."""
-        for k in range(0, len(pieces), 20_000):
-            some = [p for p in pieces[k:k + 20_000] if len(p) > 1 and not self.blank(p, 1)]
-            if some:
-                ids = np.array(self.lib.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-                at = np.nonzero(self.begins[ids])[0]
-                if len(at) == len(some) and at[0] == 0:
-                    self.known.update((p, x.tobytes()) for p, x in zip(some, np.split(ids, at[1:])))
-        rest = [p for p in pieces if p not in self.known]
-        for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, np.uint32).tobytes()
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [bool(self.meets(t)) or any(s in t for s in self.special) for t in texts]
-        pieces = [[] if w else [p if k == 0 else " " + p for k, p in enumerate(t.split(" "))] for t, w in zip(texts, whole)]
-        new = set().union(*pieces).difference(self.known)
-        if len(self.known) + len(new) > KEPT_PIECES:
-            self.known = {}
-            new = set().union(*pieces)
-        if new:
-            self._learn([p for p in new if p[:1] == " "])
-            rest = [p for p in new if p not in self.known]
-            for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, np.uint32).tobytes()
-        get = self.known.__getitem__
-        full = iter(self.lib.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False))
-        return [np.array(next(full).ids, np.uint32) if w else np.frombuffer(b"".join(map(get, p)), np.uint32) for p, w in zip(pieces, whole)]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+GROUP_IDS, PART_BYTES, END_ID = 4_000_000, 16_000_000, 0
+#: Characters that are tokenized at a time.
+SLICE = 6_000_000
+
+_encoders: dict[str, ByteBPE] = {}
+
+
+def encoder(path: str) -> ByteBPE:
+    """Once for each Python worker."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = ByteBPE(path)
     return _encoders[path]
 
 
@@ -113,11 +66,11 @@ def _pack(path: str, end_id: int, group_ids: int):
         made = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([group], pa.int32()), pa.array([total], pa.int64()), pa.array([write_group(ids, docs)], pa.binary())], ["part", "group", "n", "data"])
         encode = encoder(path).ids
         for b in batches:
-            texts, names = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()
-            for i, j in slices([len(t) for t in texts], 2_000_000):
+            texts, names = b.column(1), b.column(0).to_pylist()
+            for i, j in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE):
                 for name, x in zip(names[i:j], encode(texts[i:j])):
                     ids.append(name)
-                    docs.append(np.append(x, np.uint32(end_id)))
+                    docs.append(np.append(x, np.int32(end_id)))
                     total += len(docs[-1])
                     if total >= group_ids:
                         yield made()
@@ -129,12 +82,14 @@ def _pack(path: str, end_id: int, group_ids: int):
 
 
 def write_tokens(df: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, group_ids: int = GROUP_IDS, part_bytes: int = PART_BYTES) -> None:
-    """Writes the documents below out. Null texts are empty (only the end id); rows with a null id come first, repeated rows each."""
+    """Writes the documents below out. Null texts are empty (only the end id); rows with a null id come first, repeated rows each; rows that share an id are in the order of their text's hash."""
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-size // part_bytes)), "id").sortWithinPartitions("id")
-    ordered.mapInArrow(_pack(path, end_id, group_ids), "part int, group int, n long, data binary").write.option("compression", "none").parquet(out)
+    # The hash orders rows of one id; the row number, of no effect on the result, lets a hot pair of both be split too.
+    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("r", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(max(1, -(-size // part_bytes)), "id", "h", "r").sortWithinPartitions("id", "h", "r")
+    ordered.select("id", "text").mapInArrow(_pack(path, end_id, group_ids), "part int, group int, n long, data binary").write.option("compression", "none").parquet(out)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
