@@ -421,3 +421,28 @@ def test_pii(docs, empty):
         assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == k for x in base) for k in range(4)]
     assert got[12]["n_email"] == got[12]["n_ip"] == got[12]["n_card"] == got[12]["n_phone"] == 1
     assert pii.find_pii(empty).count() == 0 and by_id(pii.digest(pii.find_pii(docs)))[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_bytes_and_buckets():
+    """What a block sends hardly depends on the number of buckets: a row names only the documents that its windows touch."""
+    rng, size = np.random.default_rng(3), 1500
+    n = 200
+    sizes, h = np.full(n, size), rng.integers(0, 2**63, n * size).astype(np.uint64)
+    sent = {}
+    for bits in (6, 14):
+        rows = substrings.sent_rows(0, h, list(range(10**6, 10**6 + n)), sizes, np.arange(n), 20, bits)
+        raw = b"".join(r[2] for r in rows)
+        sent[bits] = sum(pa.compress(raw[k:k + 32768], codec="lz4_raw").size for k in range(0, len(raw), 32768))
+    assert sent[14] < 1.5 * sent[6]
+    doc, start = np.array([0, 0, 3, 3, 3, 9]), np.array([4, 9, 0, 1, 70_000, 2])
+    d, c, s = substrings.unspots(substrings.spots(doc, start))
+    assert np.repeat(d, c).tolist() == doc.tolist() and s.tolist() == start.tolist()
+
+
+def test_repeats_of_an_id(spark):
+    """Rows of one id are places of one document, whose texts are judged by themselves; repeated rows lose the same words."""
+    a, b = made(31, 60), made(32, 60)
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, "x y " + a), (None, a)]
+    for bucket in (200, 10**6):
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bucket_bytes=bucket).collect())
+        assert got == Counter({(1, 60, 0, a): 1, (2, 60, 60, ""): 1, (2, 60, 0, b): 2, (2, 62, 60, "x y"): 1, (None, 60, 0, a): 1})

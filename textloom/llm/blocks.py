@@ -50,13 +50,13 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_WORDS) -> Iterator[tuple[int, np.ndarray, list[int | None], np.ndarray]]:
-    """(number, word hashes, ids, words of each) of blocks of about most words, documents in ascending order of id, null ids last."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_WORDS) -> Iterator[tuple[int, np.ndarray, list[int | None], np.ndarray, np.ndarray]]:
+    """(number, word hashes, ids, words of each, third columns) of blocks of about most words, documents in ascending order of id, then third column, null ids last."""
     number, rows, total = TaskContext.get().partitionId() << 32, [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+        for i, t, x in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             w = split(t.as_py())
-            rows.append((i, word_hashes(w)))
+            rows.append((i, word_hashes(w), x))
             total += len(w)
             if total >= most:
                 yield _block(number, rows)
@@ -66,8 +66,8 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_WORDS) -> Iterat
 
 
 def _block(number: int, rows: list) -> tuple:
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
-    return number, np.concatenate([h for _, h in rows]), [i for i, _ in rows], np.array([len(h) for _, h in rows], np.int64)
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    return number, np.concatenate([h for _, h, _ in rows]), [i for i, _, _ in rows], np.array([len(h) for _, h, _ in rows], np.int64), np.array([x for _, _, x in rows], np.int64)
 
 
 def bucket_rows(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -56,16 +56,15 @@ def _map(bits: int):
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for number, h, ids, sizes in blocks(batches):
+        for number, h, ids, sizes, _ in blocks(batches):
             words, word, first, pairs, pair = _tables(h, sizes)
             grams = np.concatenate([words, _bigram(words[pairs >> 32], words[pairs & 0xFFFFFFFF])])
             counts = np.concatenate([np.bincount(word, minlength=len(words)), np.bincount(pair, minlength=len(pairs))]).astype(np.uint32)
             known, has = np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8)
-            rows = [(-1 - number, number, squeeze(pack(known) + has.tobytes()), squeeze(pack(sizes)), squeeze(pack(word.astype(np.uint32))))]
-            for b, k in bucket_rows(grams, bits):
-                rows.append((b, number, pack(grams[k]), squeeze(pack(counts[k])), squeeze(pack(np.diff(k, prepend=0).astype(np.uint32)))))
+            rows = [(-1 - number, number, squeeze(pack(known) + has.tobytes()), squeeze(pack(sizes) + pack(word.astype(np.uint32))))]
+            rows += [(b, number, pack(grams[k]), squeeze(pack(counts[k]) + pack(np.diff(k, prepend=0).astype(np.uint32)))) for b, k in bucket_rows(grams, bits)]
             for k in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 16]), (pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["key", "block", "x", "y", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 16]), (pa.int64(), pa.int64(), *[pa.binary()] * 2))], ["key", "block", "x", "y"])
 
     return run
 
@@ -77,14 +76,15 @@ def _count(key, t):
     import zstandard
 
     open_, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-    each = [unpack(x, "<u8") for x in t.column("x").to_pylist()]
-    counts = [unpack(open_(x), "<u4") for x in t.column("y").to_pylist()]
+    each = [unpack(x.as_py(), "<u8") for x in t.column("x")]
+    rest = [open_(x.as_py()) for x in t.column("y")]
     table, at = np.unique(np.concatenate(each), return_inverse=True)
     total = np.zeros(len(table), np.int64)
-    np.add.at(total, at, np.concatenate(counts))
+    np.add.at(total, at, np.concatenate([unpack(r[: 4 * len(x)], "<u4") for x, r in zip(each, rest)]))
     back = np.split(total[at], np.cumsum([len(x) for x in each])[:-1])
     # The n-grams' numbers return with them; counts are small: the planes above the first compress away.
-    return pa.table({"block": t.column("block"), "x": pa.array([squeeze(pack(x)) for x in back], pa.binary()), "y": pa.array([b""] * len(back), pa.binary()), "z": t.column("z"), "own": pa.array([False] * len(back))})
+    data = [squeeze(pack(n) + r[4 * len(x):]) for n, x, r in zip(back, each, rest)]
+    return pa.table({"block": t.column("block"), "x": pa.array(data, pa.binary()), "y": pa.array([b""] * len(back), pa.binary()), "own": pa.array([False] * len(back))})
 
 
 def _score(backoff: float):
@@ -94,8 +94,9 @@ def _score(backoff: float):
         open_ = zstandard.ZstdDecompressor().decompress
         rows = t.to_pylist()
         own = next(r for r in rows if r["own"])
-        sizes, word = unpack(open_(own["y"]), "<i8"), unpack(open_(own["z"]), "<u4").astype(np.int64)
-        head = open_(own["x"])
+        head, tail = open_(own["x"]), open_(own["y"])
+        n_docs = len(head) // 9
+        sizes, word = unpack(tail[: 8 * n_docs], "<i8"), unpack(tail[8 * n_docs:], "<u4").astype(np.int64)
         ids, has = unpack(head[: 8 * len(sizes)], "<i8"), np.frombuffer(head[8 * len(sizes):], np.uint8)
         n_words = int(word.max()) + 1 if len(word) else 0
         first = np.zeros(len(word), bool)
@@ -104,7 +105,9 @@ def _score(backoff: float):
         corpus = np.zeros(n_words + len(pairs), np.int64)
         for r in rows:
             if not r["own"]:
-                corpus[np.cumsum(unpack(open_(r["z"]), "<u4").astype(np.int64))] = unpack(open_(r["x"]), "<i8")
+                data = open_(r["x"])
+                n = len(data) // 12
+                corpus[np.cumsum(unpack(data[8 * n:], "<u4").astype(np.int64))] = unpack(data[: 8 * n], "<i8")
         doc = np.repeat(np.arange(len(sizes)), sizes)
         at = np.nonzero(~first)[0]
         c1 = corpus[word] - _own(doc, word)
@@ -136,10 +139,10 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bac
     with a null id) count for each other. An empty table gives an empty result; further columns are ignored.
     """
     ship(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("none"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = rows.mapInArrow(_map(bits_for(total, bucket_bytes)), "key long, block long, x binary, y binary, z binary")
-    counted = sent.groupBy("key").applyInArrow(_count, "block long, x binary, y binary, z binary, own boolean")
+    sent = rows.mapInArrow(_map(bits_for(total, bucket_bytes)), "key long, block long, x binary, y binary")
+    counted = sent.groupBy("key").applyInArrow(_count, "block long, x binary, y binary, own boolean")
     parts = cut(counted.groupBy("block").applyInArrow(_score(backoff), "id long, n_words long, n_backoff long, by_words long, log_counts double"))
     n = F.lit(parts.agg(F.sum("n_words")).first()[0] or 0)
     score = F.col("log_counts") - F.when(F.col("by_words") > 0, F.col("by_words") * F.log(F.greatest(n - F.col("n_words"), F.lit(1)).cast("double"))).otherwise(0.0)
