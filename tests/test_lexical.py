@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import hashing, lexical
+from textloom.functions import hashing, lexical, symbols
+from textloom.operators import nn
 
 
 @pytest.mark.parametrize("text, name, want", [
@@ -27,6 +28,30 @@ def test_flags(spark):
 def test_like_num(spark):
     got = {r["t"]: r["n"] for r in spark.createDataFrame([(w,) for w in "10 -1,000 3/4 ten Third 21st 1st2 a +x ~7 21ST".split()], "t string").select("t", lexical.like_num(F.col("t")).alias("n")).collect()}
     assert [w for w, n in got.items() if n] == ["10", "-1,000", "3/4", "ten", "Third", "21st", "~7", "21ST"]
+    # Commas and points are passed over among digits alone.
+    plain = {r["t"]: r["n"] for r in spark.createDataFrame([(w,) for w in "ten. te,n 1,000/2 2.1st 1.5 +1,0.0 1/2/3 /2 -ten ++1 st".split()], "t string").select("t", lexical.like_num(F.col("t")).alias("n")).collect()}
+    assert [w for w, n in plain.items() if n] == ["1.5", "+1,0.0", "-ten"]
+
+
+def test_symbols(spark):
+    assert len(symbols.SYMBOLS) == 456 and [symbols.symbol_id(n) for n in ("", "IS_ALPHA", "ID", "X", "PERSON", "det", "mark", "root", "ROOT", "_")] == [0, 1, 64, 101, 380, 415, 423, 449, None, 456]
+    assert symbols.symbol_name(100) == "VERB" and symbols.symbol_name(0) == "" and symbols.symbol_name(999) is None
+    assert hashing.string_id("mark") == 423 and hashing.string_id("I") == hashing.hash64(b"I")
+    f = nn.features({"text": ["I", "mark"], "ws": [" ", ""], "norm": ["i", "mark"], "prefix": ["I", "m"], "suffix": ["I", "ark"], "shape": ["X", "xxxx"]})
+    assert f[0, 3] == 101 and f[1, 0] == 423 and f[0, 4] == 1
+    table = hashing.string_table(spark.createDataFrame([("coffee",), ("mark",)], "text string"), "text")
+    assert [r["text"] for r in table.collect()] == ["coffee"]
+    ids = spark.createDataFrame([(0,), (423,), (3197928453018144401,), (5,), (77777,)], "id long")
+    assert {r["id"]: r["text"] for r in hashing.lookup(ids, table).collect()} == {0: "", 423: "mark", 3197928453018144401: "coffee", 5: "IS_PUNCT", 77777: None}
+    texts = spark.createDataFrame([("",), ("det",), ("coffee",), ("tea",)], "text string")
+    assert {r["text"]: r["id"] for r in hashing.get(texts, table).collect()} == {"": 0, "det": 415, "coffee": 3197928453018144401, "tea": None}
+
+
+def test_murmur3_128():
+    text = lambda t: "".join(f"{x:08x}" for x in hashing.murmur3_128(t))
+    assert text(b"I will not buy this record, it is scratched.") == "a0a9683b25ac5e40d9af2895890dddf5"
+    assert text(b"I will not buy this tobacconist's, it is scratched.") == "9b5b7ba2ef3f7866889adeaf00f3f98e"
+    assert hashing.murmur3_128(b"") == (0, 0, 0, 0)
 
 
 def test_hashes():

@@ -15,7 +15,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["tok_restricted", "lex_shape", "match_sequence", "k_seq2col", "w08_svo", "entity_prf"])
+@pytest.mark.parametrize("name", ["tok_restricted", "lex_shape", "match_sequence", "k_seq2col", "w08_svo", "entity_prf", "like_num", "arch_multi_hash_embed", "string_store", "w15_noun_chunks", "classify"])
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

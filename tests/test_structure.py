@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from textloom.operators import evaluate, rules, structure, workflows
@@ -101,3 +103,27 @@ def test_scores(tok, spark):
     assert rows(evaluate.classify(a, b), "doc_id", "verdict") == [(1, "whitespace"), (2, "length")]
     f = evaluate.float_diff(spark.createDataFrame([(1.0, 1.0), (float("nan"), 1.0)], "got double, want double")).first()
     assert (f["n"], f["failed"]) == (2, 1)
+
+
+def test_ruler_index_and_empty_values(spark):
+    """index counts from a match's start, to either side; outside the document nothing is written; nor are empty values."""
+    t = spark.createDataFrame([(1, i, x, x, "NN", "OLD", "m", "l") for i, x in enumerate(["a", "b", "c"])], "doc_id long, i int, text string, lower string, tag string, pos string, morph string, lemma string")
+    p = [{"patterns": [[{"ORTH": "b"}]], "attrs": {"POS": "BEFORE", "LEMMA": ""}, "index": -1}, {"patterns": [[{"ORTH": "c"}]], "attrs": {"POS": "LOST"}, "index": 1}, {"patterns": [[{"ORTH": "a"}]], "attrs": {"MORPH": "_"}, "index": 2}, {"patterns": [[{"ORTH": "a"}]], "attrs": {"POS": "X"}, "index": -1}, {"patterns": [[{"ORTH": "a"}]], "attrs": {}}]
+    assert [(r["pos"], r["morph"], r["lemma"]) for r in rules.attribute_ruler(t, p).orderBy("i").collect()] == [("BEFORE", "m", "l"), ("OLD", "m", "l"), ("OLD", "", "l")]
+
+
+def test_lengths_and_fixtures(spark, tmp_path):
+    cols = "doc_id long, i int, text string, tag string, pos string, morph string, lemma string, head int, dep string"
+    row = lambda d, i: (d, i, "t", "NN", "N", "", "t", 0, "dep")
+    a, b = spark.createDataFrame([row(1, 0), row(1, 1), row(2, 0)], cols), spark.createDataFrame([row(1, 0), row(2, 0), row(3, 0)], cols)
+    assert {(r["doc_id"], r["attr"], r["got"], r["want"]) for r in evaluate.attr_diff(a, b).collect()} == {(1, "length", "2", "1"), (3, "length", "0", "1")}
+    assert tuple(evaluate.attachment(a, a).first()) == (3, 1.0, 1.0)
+    with pytest.raises(Exception, match="numbers of tokens"):
+        evaluate.attachment(a, b).collect()
+    path = tmp_path / "f.json"
+    path.write_text(json.dumps({"sentences": [{"text": "a b", "tokens": [{"orth": "a", "idx": 0, "ws": True}, {"orth": "b", "idx": 2, "ws": False}]}]}))
+    assert [(r["doc_id"], r["i"], r["orth"], r["idx"], r["ws"]) for r in evaluate.fixtures(spark, str(path), "tokens").orderBy("i").collect()] == [(0, 0, "a", 0, True), (0, 1, "b", 2, False)]
+    with pytest.raises(ValueError):
+        evaluate.fixtures(spark, str(path), "arcs")
+    path.write_text(json.dumps({"s01": [{"text": "a", "pos": "DET"}], "s02": []}))
+    assert [(r["case"], r["i"], r["pos"]) for r in evaluate.fixtures(spark, str(path), "cases").collect()] == [("s01", 0, "DET")]

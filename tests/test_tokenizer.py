@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import rules_en, tokenizer
+from textloom.operators.rules_en import special_cases
 
 
 @pytest.mark.parametrize("text, want", [
@@ -50,3 +51,16 @@ def test_table(spark):
     assert tokenizer.span_text(t, spans).collect()[0]["text"] == "A bc"
     assert tokenizer.with_lexemes(t).filter("is_title").count() == 1
     assert d.select(tokenizer.span_at(F.array(*map(F.lit, "abcd")), 1, 3, -1).alias("x")).first()["x"] == "c"
+
+
+def test_special_case_table():
+    cases = special_cases()
+    assert len(cases) == 1347 and not {"theses", "those's", "that're", "this've"} & set(cases)
+    assert cases["ain't"] == (("ai", ""), ("n't", "not")) and cases["°C."] == (("°", ""), ("C", ""), (".", ""))
+    assert cases["How'd'y"] == (("How", "how"), ("'d", ""), ("'y", "you")) and cases["could've"] == (("could", "could"), ("'ve", "")) and cases["im"] == (("i", "i"), ("m", ""))
+
+
+@pytest.mark.parametrize("text, want", [("theses", ["theses"]), ("those's", ["those", "'s"]), ("ain't", ["ai", "n't"]), ("20°C.", ["20", "°", "C", "."]), ("can't've", ["ca", "n't", "'ve"])])
+def test_special_case_tokens(spark, text, want):
+    got = tokenizer.tokenize(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("i").collect()
+    assert [r["text"] for r in got] == want

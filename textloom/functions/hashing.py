@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..session import ship
+from .symbols import SYMBOLS
 
 M64 = 0xC6A4A7935BD1E995
 MASK = 2**64 - 1
@@ -29,9 +30,9 @@ def hash64(data: bytes, seed: int = 1) -> int:
     return h ^ (h >> 47)
 
 
-def string_id(text: str, symbols: dict[str, int] | None = None) -> int:
+def string_id(text: str, symbols: dict[str, int] = SYMBOLS) -> int:
     """Id of a string in a string store: 0 for the empty one, a symbol's number, else its hash."""
-    return 0 if not text else (symbols or {}).get(text) or hash64(text.encode())
+    return 0 if not text else symbols.get(text) or hash64(text.encode())
 
 
 def _rot(x: np.ndarray, r: int) -> np.ndarray:
@@ -59,7 +60,7 @@ def hash4(ids: np.ndarray, seed: int) -> np.ndarray:
     return np.stack([h1 & low, h1 >> np.uint64(32), h2 & low, h2 >> np.uint64(32)], 1).astype(np.uint32)
 
 
-def with_hash64(df: DataFrame, column: str, out: str, symbols: dict[str, int] | None = None) -> DataFrame:
+def with_hash64(df: DataFrame, column: str, out: str, symbols: dict[str, int] = SYMBOLS) -> DataFrame:
     """Adds the string id of a column, as a long with the same 64 bits. Each distinct string of a batch is hashed once."""
     ship(df.sparkSession)
     schema = StructType([*df.schema.fields, StructField(out, LongType())])
@@ -73,12 +74,29 @@ def with_hash64(df: DataFrame, column: str, out: str, symbols: dict[str, int] |
     return df.mapInArrow(run, schema)
 
 
-def string_table(df: DataFrame, column: str, symbols: dict[str, int] | None = None) -> DataFrame:
+def string_table(df: DataFrame, column: str, symbols: dict[str, int] = SYMBOLS) -> DataFrame:
     """(text, id) of the distinct strings: symbols and the empty string are not stored."""
     distinct = df.select(F.col(column).alias("text")).distinct().filter(F.col("text") != "")
     if symbols:
-        distinct = distinct.filter(~F.col("text").isin(*symbols))
-    return with_hash64(distinct, "text", "id")
+        distinct = distinct.filter(~F.col("text").isin(*symbols))  # hashed once: a set test
+    return with_hash64(distinct, "text", "id", symbols)
+
+
+def lookup(ids: DataFrame, table: DataFrame, column: str = "id") -> DataFrame:
+    """ids with text: of the empty string and the symbols without a table, of others as string_table has them; null where nothing has the id."""
+    spark = ids.sparkSession
+    known = spark.createDataFrame([("", 0), *((n, k) for n, k in SYMBOLS.items())], "text string, id long")
+    names = table.select("text", "id").unionByName(known).withColumnRenamed("id", "_id")
+    return ids.join(names, F.col(column) == F.col("_id"), "left").drop("_id")
+
+
+def get(texts: DataFrame, table: DataFrame, column: str = "text") -> DataFrame:
+    """texts with id: that of a stored string, a symbol or the empty string; null for others."""
+    found = with_hash64(texts.select(F.col(column).alias("_text")).distinct(), "_text", "id")
+    stored = table.select(F.col("text").alias("_text"), F.lit(True).alias("_stored"))
+    small = (F.col("id") >= 0) & (F.col("id") <= len(SYMBOLS))
+    found = found.join(stored, "_text", "left").select("_text", F.when(small | F.col("_stored"), F.col("id")).alias("id"))
+    return texts.join(found, F.col(column) == F.col("_text"), "left").drop("_text")
 
 
 def murmur3_128(data: bytes, seed: int = 0) -> tuple[int, int, int, int]:

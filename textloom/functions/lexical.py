@@ -106,10 +106,10 @@ def like_num_lexeme(t: Column) -> Column:
 
 
 def like_num(t: Column) -> Column:
-    """A number in digits (one sign before it, commas and points ignored), a fraction, a number word, or digits with st, nd, rd, th."""
-    bare = F.regexp_replace(F.regexp_replace(t, r"\A[+\-±~]", ""), "[,.]", "")
-    low = F.lower(bare)
-    return bare.rlike(r"\A[0-9]+\z") | bare.rlike(r"\A[0-9]+/[0-9]+\z") | low.isin(*CARDINALS, *ORDINALS) | low.rlike(r"\A[0-9]+(st|nd|rd|th)\z")
+    """After one sign: digits (commas and points among them ignored), a plain fraction, a number word, or plain digits with st, nd, rd, th."""
+    bare = F.regexp_replace(t, r"\A[+\-±~]", "")
+    low = F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_replace(bare, "[,.]", "").rlike(r"\A[0-9]+\z") | bare.rlike(r"\A[0-9]+/[0-9]+\z") | low.isin(*CARDINALS, *ORDINALS) | low.rlike(r"\A[0-9]+(st|nd|rd|th)\z")
 
 
 def is_stop(t: Column) -> Column:

@@ -88,7 +88,7 @@ def oracle_cte(source: str = "documents", where: str = "lang = 'en'") -> str:
     p7 AS (SELECT *, coalesce(min(CASE WHEN pos = 'VERB' THEN i END) OVER s, min(i) OVER s) AS root, max(CASE WHEN pos = 'VERB' THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_verb
         FROM p6 WINDOW s AS (PARTITION BY doc_id, sent)),
     p8 AS (SELECT *, CASE WHEN i <= root THEN root ELSE greatest(root, coalesce(last_verb, root)) END AS head, max(CASE WHEN i = root AND tag = 'VBD' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent) AS past FROM p7),
-    tok AS (SELECT doc_id, i::INT AS i, text, ws, low AS lower, tag, pos, morph, lemma, head::INT AS head,
+    tok AS MATERIALIZED (SELECT doc_id, i::INT AS i, text, ws, low AS lower, tag, pos, morph, lemma, head::INT AS head,
         CASE WHEN i = root THEN 'ROOT' WHEN pos = 'VERB' THEN 'conj' WHEN low = 'not' THEN 'neg' WHEN pos IN ('NOUN','PROPN','PRON') AND i <= root AND past = 1 AND i % 2 = 0 THEN 'nsubjpass' WHEN pos IN ('NOUN','PROPN','PRON') AND i <= root THEN 'nsubj'
             WHEN pos IN ('NOUN','PROPN','PRON') THEN 'dobj' WHEN pos = 'DET' THEN 'det' WHEN pos = 'ADJ' THEN 'amod' WHEN pos = 'PUNCT' THEN 'punct' ELSE 'dep' END AS dep, sent_start,
         CASE WHEN tag <> 'NNP' THEN 2 WHEN lag(tag) OVER w = 'NNP' THEN 1 ELSE 3 END AS ent_iob,

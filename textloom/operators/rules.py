@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexical import is_alpha, morph_map
-from .matcher import Matcher, PatternError, predicate
+from .matcher import Matcher, predicate
 
 _RULER = {"TAG": {"value", "IN", "NOT_IN"}, "ORTH": {"value", "IN"}, "LOWER": {"value", "IN", "REGEX"}, "DEP": {"value", "IN", "NOT_IN"}, "IS_SPACE": {"bool"}}
 _WRITES = {"POS": "pos", "TAG": "tag", "MORPH": "morph", "LEMMA": "lemma"}
@@ -21,6 +21,9 @@ def supported(pattern: list[dict]) -> bool:
 def attribute_ruler(tokens: DataFrame, patterns: list[dict]) -> DataFrame:
     """Applies {"patterns": [[spec, ...]], "attrs": {...}, "index": n} in order; the last pattern that writes an attribute wins.
 
+    The token written is the one index places from the match's start, before or behind it too; none where the document ends earlier.
+    Empty values write nothing.
+
     Only the first alternative of an entry counts. TAG is the one attribute that is both read and written: patterns go in stages, a
     new one after each that writes it; the patterns of a stage are matched in one scan.
     """
@@ -39,14 +42,11 @@ def _stage(tokens: DataFrame, stage: list[dict]) -> DataFrame:
     m = Matcher({str(k): [p["patterns"][0]] for k, p in enumerate(stage)})
     rows = []
     for k, p in enumerate(stage):
-        size = len(p["patterns"][0])
-        at = p.get("index", 0)
-        at = at + size if at < 0 else at
-        if not 0 <= at < size:
-            raise PatternError("index lies outside the pattern")
         for name, value in p["attrs"].items():
-            if name in _WRITES:
-                rows.append((str(k), at, _WRITES[name], "" if name == "MORPH" and value == "_" else value, k))
+            if name in _WRITES and value:
+                rows.append((str(k), p.get("index", 0), _WRITES[name], "" if name == "MORPH" and value == "_" else value, k))
+    if not rows:
+        return tokens
     writes = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("key", "at", "attr", "value", "ord"), r)]) for r in rows])
     hit = m.scan(tokens).select("doc_id", "start", F.explode(F.filter(writes, lambda x: x["key"] == F.col("key"))).alias("w"))
     last = hit.groupBy("doc_id", (F.col("start") + F.col("w.at")).alias("i")).agg(*[F.max_by(F.when(F.col("w.attr") == a, F.col("w.value")), F.when(F.col("w.attr") == a, F.col("w.ord"))).alias(f"_{a}") for a in _WRITES.values()])

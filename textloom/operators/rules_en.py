@@ -62,40 +62,46 @@ def special_cases() -> dict[str, tuple[tuple[str, str], ...]]:
             add((f, norm), *rest)
 
     norms = {"'m": "am", "'ll": "will", "'d": "'d", "'ve": "have", "'re": "are", "'s": "'s", "n't": "not"}
-    would = ("'d", "would")
 
-    def ending(first: str, norm: str, *ends: str) -> None:
-        """An ending with and without its apostrophe; before 've, 'd is would."""
-        parts = [(e, norms[e]) for e in ends]
-        if len(parts) == 2 and parts[0][0] == "'d":
-            parts[0] = would
-        for bare in (False, True):
-            both(first, norm, *[(t.replace("'", "") if bare else t, n) for t, n in parts])
+    def ending(first: str, norm: str, *ends: str, own: tuple[str, str] = ("", "")) -> None:
+        """Endings with their apostrophes and without; before 've, 'd is would. own: endings, written with and without, that have no norm."""
+        for k, drop in enumerate(("", "'")):
+            parts = [(e.replace(drop, "") if drop else e, "" if e == own[k] else "would" if e == "'d" and len(ends) > 1 else norms[e]) for e in ends]
+            both(first, norm, *parts)
 
     for p in ("i", "you", "he", "she", "it", "we", "they"):
         for ends in (("'ll",), ("'ll", "'ve"), ("'d",), ("'d", "'ve")):
             ending(p, p, *ends)
-    ending("i", "i", "'m")
-    for bare in (False, True):
-        both("i", "i", ("m" if bare else "'m", "am"), ("a", "gonna"))
+    ending("i", "i", "'m", own=("", "'m"))
+    for m in ("'m", "m"):
+        both("i", "i", (m, "am"), ("a", "gonna"))
     for p in ("i", "you", "we", "they"):
         ending(p, p, "'ve")
     for p in ("you", "we", "they"):
         ending(p, p, "'re")
     for p in ("he", "she", "it"):
-        ending(p, p, "'s")
+        ending(p, p, "'s", own=("", "'s"))
     for w in ("who", "what", "when", "where", "why", "how", "there", "that", "this", "these", "those"):
-        for ends in (("'s",), ("'ll",), ("'ll", "'ve"), ("'re",), ("'ve",), ("'d",), ("'d", "'ve")):
+        for ends in (("'ll",), ("'ll", "'ve"), ("'d",), ("'d", "'ve")):
             ending(w, w, *ends)
+        if w not in ("these", "those"):
+            ending(w, w, "'s", own=("", "'s"))
+        if w not in ("that", "this"):
+            ending(w, w, "'re")
+            ending(w, w, "'ve", own=("'ve", ""))
+    # Verbs that take n't and their norms; with the first group 've may follow.
     for v, norm in (("ca", "can"), ("could", "could"), ("do", "do"), ("does", "does"), ("did", "do"), ("had", "have"), ("may", "may"), ("might", "might"), ("must", "must"), ("need", "need"), ("ought", "ought"), ("sha", "shall"), ("should", "should"), ("wo", "will"), ("would", "would")):
         ending(v, norm, "n't")
         ending(v, norm, "n't", "'ve")
-    for v in ("could", "might", "must", "should", "would"):
-        ending(v, v, "'ve")
-    for v, norm in (("is", "is"), ("are", "are"), ("was", "was"), ("were", "were"), ("have", "have"), ("has", "has"), ("dare", "dare")):
+    for v, norm in (("ai", ""), ("is", "is"), ("are", "are"), ("was", "was"), ("were", "were"), ("have", "have"), ("has", "has"), ("dare", "dare")):
         ending(v, norm, "n't")
-    for a, an, b, bn in (("can", "can", "not", "not"), ("gon", "going", "na", "to"), ("got", "got", "ta", "to"), ("let", "let", "'s", "us"), ("c'm", "come", "on", ""), ("not", "", "'ve", "have"), ("not", "", "ve", "have"), ("how'd", "how", "'y", "you")):
+    for v in ("could", "might", "must", "should", "would"):
+        ending(v, v, "'ve", own=("'ve", "'ve"))
+    for a, an, b, bn in (("can", "can", "not", "not"), ("gon", "going", "na", "to"), ("got", "got", "ta", "to"), ("let", "let", "'s", "us"), ("c'm", "come", "on", ""), ("not", "", "'ve", "have"), ("not", "", "ve", "have")):
         both(a, an, (b, bn))
+    both("how", "how", ("'d", ""), ("'y", "you"))
+    for unit in "CFKcfk":
+        add(("°", ""), (unit, ""), (".", ""))
     for y in ("y'", "y"):
         add((y, "you"), ("all", ""))
     for h in range(1, 13):

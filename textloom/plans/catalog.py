@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, lexical, symbols
+from . import sqlparts
+from .lineage import cut
 from ..operators import annotate, evaluate, kernels, matcher, rules, rules_en, structure, tokenizer, workflows
 
 QUERIES: dict = {}
@@ -118,8 +120,9 @@ def lex_affix(spark, sf_dir):
 _NUMBERS = ",".join(_q(x) for x in (*lexical.CARDINALS, *lexical.ORDINALS))
 
 
-@query(WORDS + rf""", b AS (SELECT text, regexp_replace(regexp_replace(text, '^[+\-±~]', ''), '[,.]', '', 'g') AS bare FROM words)
-    SELECT text, regexp_matches(bare, '^[0-9]+$') OR regexp_matches(bare, '^[0-9]+/[0-9]+$') OR lower(bare) IN ({_NUMBERS}) OR regexp_matches(lower(bare), '^[0-9]+(st|nd|rd|th)$') AS like_num FROM b""")
+@query(WORDS + rf""", b AS (SELECT text, CASE WHEN text[1] IN ('+', '-', '±', '~') THEN substr(text, 2) ELSE text END AS bare FROM words), p AS (SELECT *, string_split(bare, '/') AS sides, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM b)
+    SELECT text, regexp_matches(replace(replace(bare, ',', ''), '.', ''), '^[0-9]+$') OR (len(sides) = 2 AND regexp_matches(sides[1], '^[0-9]+$') AND regexp_matches(sides[2], '^[0-9]+$')) OR low IN ({_NUMBERS})
+        OR (right(low, 2) IN ('st', 'nd', 'rd', 'th') AND regexp_matches(left(low, length(low) - 2), '^[0-9]+$')) AS like_num FROM p""")
 def like_num(spark, sf_dir):
     return words(spark, sf_dir).select("text", lexical.like_num(C("text")).alias("like_num"))
 
@@ -133,7 +136,7 @@ def stop_words(spark, sf_dir):
     return t.groupBy(F.lower("chunk").alias("word")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(WORDS + ", " + sqlparts.hash64("words", "text", "hashed") + " SELECT text, id FROM hashed WHERE text NOT IN (" + ",".join(_q(n) for n in symbols.SYMBOLS) + ")")
 def hash64_tokens(spark, sf_dir):
     return hashing.string_table(words(spark, sf_dir), "text")
 
@@ -210,7 +213,8 @@ _match("match_like_num", [{"LIKE_NUM": True}], [f"(regexp_matches({{0}}.text, '^
 _match("match_sequence", [{"POS": "DET"}, {"POS": {"IN": ["ADJ", "NOUN"]}}, {"LOWER": {"REGEX": "e"}}], ["{}.pos = 'DET'", "{}.pos IN ('ADJ', 'NOUN')", "contains({}.lower, 'e')"])
 
 
-@query()
+@query(TOK + """, n AS (SELECT *, coalesce(lag(pos, 1) OVER w, '') AS a, coalesce(lag(pos, 2) OVER w, '') AS b FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id, 'np' AS key, i - CASE WHEN a = 'ADJ' AND b = 'DET' THEN 2 WHEN a = 'ADJ' THEN 1 ELSE 0 END AS start, i + 1 AS "end" FROM n WHERE pos = 'NOUN'""")
 def match_dedup(spark, sf_dir):
     """Alternatives of one key compete: the longest first."""
     m = matcher.Matcher().add("np", [{"POS": "NOUN"}], [{"POS": "ADJ"}, {"POS": "NOUN"}], [{"POS": "DET"}, {"POS": "ADJ"}, {"POS": "NOUN"}])
@@ -327,11 +331,11 @@ def k_list2padded(spark, sf_dir):
     return kernels.list2padded(vectors(spark, sf_dir), "label", "vec_id").select("vec_id", "slot", "time")
 
 
-@query(VEC + ", i AS (SELECT vec_id AS \"row\", unnest([vec_id % 17, vec_id % 5, vec_id % 17]) AS id FROM e), x AS (SELECT i.\"row\", unnest(range(64))::INT AS k, unnest(v) AS x FROM i JOIN e ON i.id = e.vec_id) SELECT \"row\", k, round(sum(x), 6) AS x FROM x GROUP BY ALL")
+@query(VEC + ", i AS (SELECT vec_id AS \"row\", unnest([vec_id, vec_id % 5, vec_id]) AS id FROM e), x AS (SELECT i.\"row\", unnest(range(64))::INT AS k, unnest(v) AS x FROM i JOIN e ON i.id = e.vec_id) SELECT \"row\", k, round(sum(x), 6) AS x FROM x GROUP BY ALL")
 def k_gather_add(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    ids = v.select(C("vec_id").alias("row"), F.array(C("vec_id") % 17, C("vec_id") % 5, C("vec_id") % 17).alias("ids"))
-    return _flat(kernels.gather_add(ids, v.filter("vec_id < 17").select(C("vec_id").alias("id"), "v")), "row")
+    ids = v.select(C("vec_id").alias("row"), F.array(C("vec_id"), C("vec_id") % 5, C("vec_id")).alias("ids"))
+    return _flat(kernels.gather_add(ids, v.select(C("vec_id").alias("id"), "v")), "row")
 
 
 @query(VEC + " SELECT a.vec_id, round(CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0 ELSE list_cosine_similarity(a.v, b.v) END, 6) AS similarity FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
@@ -345,6 +349,12 @@ def k_cosine(spark, sf_dir):
 
 _HEAD = "JOIN tok h ON h.doc_id = t.doc_id AND h.i = t.head"
 _PUNCT = r"regexp_matches(text, '^\p{P}+$')"
+# A running end over a document's candidates: each element is a state of its own, and two states merge.
+_CHUNKS_SQL = _ANC + f""", edge AS (SELECT doc_id, anc AS i, min(i) AS le FROM up GROUP BY ALL),
+    cand AS (SELECT t.doc_id, t.i, e.le FROM tok t JOIN edge e ON t.doc_id = e.doc_id AND t.i = e.i WHERE t.pos IN ('NOUN', 'PROPN', 'PRON') AND t.dep IN ({",".join(_q(x) for x in sorted(structure.CHUNK_DEPS))})),
+    st AS (SELECT doc_id, list({{'last': i, 'le': le, 'out': [{{'start': le, 'end': i + 1}}]}} ORDER BY i) AS xs FROM cand GROUP BY doc_id),
+    r AS (SELECT doc_id, list_reduce(xs, lambda a, x: CASE WHEN x.le <= a.last THEN a ELSE {{'last': x.last, 'le': x.le, 'out': a.out || x.out}} END) AS s FROM st),
+    c AS (SELECT doc_id, unnest(s.out) AS x FROM r) SELECT doc_id, x.start AS start, x."end" AS "end", string_agg(t.text || CASE WHEN t.i = x."end" - 1 THEN '' ELSE t.ws END, '' ORDER BY t.i) AS text FROM c JOIN tok t USING (doc_id) WHERE t.i >= x.start AND t.i < x."end" GROUP BY ALL"""
 _SQL = {
     "w01_pos_freq": TOK + " SELECT doc_id, pos, count(*) AS n FROM tok GROUP BY ALL",
     "w02_propn": TOK + " SELECT doc_id, i, text FROM tok WHERE pos = 'PROPN'",
@@ -360,6 +370,7 @@ _SQL = {
     "w12_sent_count": _SENTS + " SELECT doc_id, max(sent)::BIGINT + 1 AS n FROM st GROUP BY ALL",
     "w13_plural_nouns": TOK + " SELECT doc_id, i, text FROM tok WHERE pos = 'NOUN' AND morph = 'Number=Plur'",
     "w14_past_tense": TOK + " SELECT doc_id, i, text FROM tok WHERE pos = 'VERB' AND morph LIKE 'Tense=Past%'",
+    "w15_noun_chunks": _CHUNKS_SQL,
     "w16_questions": _SENTS + " SELECT doc_id, sent, arg_min(tag, i) LIKE 'W%' OR arg_max(text, i) = '?' AS is_question FROM st GROUP BY ALL",
     "w17_keywords": TOK + f" SELECT doc_id, lemma, count(*) AS n FROM tok WHERE pos IN ('NOUN', 'PROPN') AND lower NOT IN ({_STOPS}) GROUP BY ALL",
     "w18_entities": _ENTS + ' SELECT e.doc_id, e.start, e."end", e.label, string_agg(t.text || CASE WHEN t.i = e."end" - 1 THEN \'\' ELSE t.ws END, \'\' ORDER BY t.i) AS text FROM ents e JOIN tok t ON t.doc_id = e.doc_id AND t.i >= e.start AND t.i < e."end" GROUP BY ALL',
@@ -371,6 +382,11 @@ for _name, _f in workflows.WORKFLOWS.items():
 
 # --- evaluation: the annotation against one that is off in known places ---------------------------------------------------------
 
+def _once(spark, sf_dir) -> DataFrame:
+    """The annotated tokens, computed and written once for both sides."""
+    return cut(tokens(spark, sf_dir))
+
+
 def _other(t: DataFrame) -> DataFrame:
     i = C("i")
     return t.withColumn("head", F.when(i % 7 == 0, 0).otherwise(C("head"))).withColumn("dep", F.when(i % 11 == 0, "dep").otherwise(C("dep"))).withColumn("tag", F.when(i % 13 == 0, "XX").otherwise(C("tag"))).withColumn("ent_iob", F.when(i % 10 == 0, 2).otherwise(C("ent_iob")))
@@ -381,7 +397,7 @@ _OTHER = ", oth AS (SELECT doc_id, i, CASE WHEN i % 7 = 0 THEN 0 ELSE head END A
 
 @query(TOK + _OTHER + " SELECT count(*) AS n, round(avg((t.head = o.head)::INT), 8) AS uas, round(avg((t.head = o.head AND t.dep = o.dep)::INT), 8) AS las FROM tok t JOIN oth o USING (doc_id, i)")
 def uas_las(spark, sf_dir):
-    t = tokens(spark, sf_dir)
+    t = _once(spark, sf_dir)
     return evaluate.attachment(_other(t), t).select("n", F.round("uas", 8).alias("uas"), F.round("las", 8).alias("las"))
 
 
@@ -390,14 +406,14 @@ _ENT2 = _ENTS + _OTHER + ", er2 AS (SELECT *, sum(CASE WHEN ent_iob = 1 THEN 0 E
 
 @query(_ENT2 + ", c AS (SELECT (SELECT count(*) FROM (SELECT * FROM ents2 INTERSECT SELECT * FROM ents)) AS tp, (SELECT count(*) FROM (SELECT * FROM ents2 EXCEPT SELECT * FROM ents)) AS fp, (SELECT count(*) FROM (SELECT * FROM ents EXCEPT SELECT * FROM ents2)) AS fn) SELECT tp, fp, fn, round(tp / (tp + fp), 8) AS p, round(tp / (tp + fn), 8) AS r, round(2 * tp / (2 * tp + fp + fn), 8) AS f1 FROM c")
 def entity_prf(spark, sf_dir):
-    t = tokens(spark, sf_dir)
+    t = _once(spark, sf_dir)
     s = evaluate.entity_scores(structure.entities(_other(t)), structure.entities(t))
     return s.select("tp", "fp", "fn", *[F.round(c, 8).alias(c) for c in ("p", "r", "f1")])
 
 
 @query(TOK + _OTHER + " SELECT doc_id, i, 'tag' AS attr, o.tag AS got, t.tag AS want FROM tok t JOIN oth o USING (doc_id, i) WHERE o.tag <> t.tag")
 def attr_diff(spark, sf_dir):
-    t = tokens(spark, sf_dir)
+    t = _once(spark, sf_dir)
     return evaluate.attr_diff(_other(t), t)
 
 
@@ -409,7 +425,7 @@ def float_diff(spark, sf_dir):
 
 # --- the rest ---------------------------------------------------------------------------------------------------------------------
 
-@query()
+@query("WITH e AS (SELECT vec_id, vec_id::UHUGEINT AS n FROM embeddings), " + sqlparts.hash4("e", "n", 8, "hashed") + " SELECT vec_id, w0 AS h0, w1 AS h1, w2 AS h2, w3 AS h3 FROM hashed")
 def hash4_ids(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
     h = hashing.with_hash4(v, "vec_id", "h", 8)
@@ -458,7 +474,7 @@ def doc_similarity(spark, sf_dir):
 
 @query(TOK + " SELECT doc_id, 'text' AS kind, i, text || '~' AS got, text AS want FROM tok WHERE i % 5 = 0")
 def token_diff(spark, sf_dir):
-    t = tokens(spark, sf_dir).select("doc_id", "i", "text", C("i").alias("idx"), "ws")
+    t = _once(spark, sf_dir).select("doc_id", "i", "text", C("i").alias("idx"), "ws")
     return evaluate.token_diff(t.withColumn("text", F.when(C("i") % 5 == 0, F.concat("text", F.lit("~"))).otherwise(C("text"))), t)
 
 
