@@ -288,6 +288,59 @@ def test_coder_learns():
         coder.encode(np.array([65536]))
 
 
+def judged(stats, support=0.5):
+    """The verdict's distances in numpy, for one group of integer statistics."""
+    g, floor = quality.GRID, np.array(quality.FLOOR)
+    s = np.array(stats, np.int64)
+    pct = lambda a, q: np.percentile(a, 100 * q)
+    away = lambda x: np.sign(x) * np.floor(np.abs(x) + 0.5)
+    dist = lambda fit, x: (np.linalg.solve(np.linalg.cholesky(fit[1]), (x / g - fit[0]).T) ** 2).sum(0)
+    level = lambda d: np.maximum(away(np.log2(d + 1e-9) * 32), -512)
+    fit_of = lambda x: (x.mean(0) / g, np.cov(x.T, bias=True) / g**2 + np.diag(floor**2))
+    mid = np.array([pct(c, 0.5) for c in s.T])
+    sd = np.sqrt((np.array([pct(np.abs(away(c - m)), 0.5) for c, m in zip(s.T, mid)]) * 1.4826 / g) ** 2 + floor**2)
+    z = (s - mid) / g / sd
+    norm = np.maximum(np.sqrt((z**2).sum(1)), 1e-9)[:, None]
+    starts = [(mid / g, np.diag(sd**2))]
+    for u in (away(np.clip(z, -1.5, 1.5) * g), away(z / norm * math.sqrt(5) * g)):
+        starts.append((mid / g, np.cov(u.T, bias=True) / g**2 * np.outer(sd, sd) + np.diag(floor**2)))
+    ended = []
+    for fit in starts:
+        step, before = 0, 0.0
+        while True:
+            lv = level(dist(fit, s))
+            fit = fit_of(s[lv <= pct(lv, support)])
+            now = np.linalg.slogdet(fit[1])[1]
+            if step and not now < before - 1e-2:
+                break
+            step, before = step + 1, now
+        ended.append((now, fit))
+    best = min(ended, key=lambda x: x[0])[1]
+    wide = lambda fit: max(1.0, 2 ** (pct(level(dist(fit, s)), 0.5) / 32) / 4.35)
+    best = fit_of(s[dist(best, s) / wide(best) <= quality.chi_square(0.025)])
+    return dist(best, s) / wide(best)
+
+
+def test_quality_verdict(spark):
+    """Whole verdicts against numpy, of two groups, one with a third of junk; the order of rows has no effect."""
+    assert abs(quality.chi_square(0.05) - 11.0705) < 1e-4 and abs(quality.chi_square(quality.TAIL) - 30.8562) < 1e-3
+    r = random.Random(2)
+    rows = [(k, made(5000 + k, r.randint(60, 400)) + ("\n" + made(1, 9)) * r.randint(0, 2), "en", "a") for k in range(120)]
+    rows += [(k, " ".join(w + "&&&##" * (j % 2) for j, w in enumerate(made(k, 90).split())), "en", "a") for k in range(120, 170)]
+    rows += [(k, "\n".join([made(7000 + 12 * k + j, r.randint(6, 30)) for j in range(12)]), "fr", "b") for k in range(200, 260)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    c = quality.counts(d, "doc_id", "text", "lang")
+    got, stats = by_id(quality.quality_rules(d.repartition(1))), {}
+    for x in c.select("doc_id", "lang", *quality.statistics(c)).collect():
+        if not got[x["doc_id"]]["base_failed"]:
+            stats.setdefault(x["lang"], {})[x["doc_id"]] = [x[f"s{i}"] for i in range(5)]
+    assert all(len(g) > 50 for g in stats.values())
+    want = {i: v for g in stats.values() for i, v in zip(g, judged(list(g.values())))}
+    again = by_id(quality.quality_rules(d.repartition(4)))
+    assert all(math.isclose(got[i]["distance"], want[i], rel_tol=1e-6) and again[i]["distance"] == got[i]["distance"] for i in want)
+    assert all(not got[i]["kept"] for i in range(120, 170)) and sum(got[i]["kept"] for i in range(120)) >= 119
+
+
 def test_coder_blocks():
     """Blocks stand alone; every changed byte is seen; a source of 6 bits an id takes little more."""
     ids = np.random.default_rng(1).integers(0, 64, 60_000)

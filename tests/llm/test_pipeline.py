@@ -55,3 +55,26 @@ def test_rows_by_themselves(spark, tmp_path):
     assert kept(corpus_pipeline.near_dedup_stage(spark, frame(rows), str(tmp_path))) == Counter([rows[0], rows[3], rows[4], rows[6]])
     rows = [(None, good[0]), (None, LOREM), (7, good[1]), (7, LOREM)]
     assert kept(corpus_pipeline.decontaminate_stage(spark, frame(rows), str(tmp_path))) == Counter([rows[0], rows[2]])
+
+
+def test_clashing_columns_and_empty_tables(spark, tmp_path):
+    """Columns named like helpers come through each stage with their rows; nulls and empty tables do no harm."""
+    spark.createDataFrame([(1, LOREM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row long, _ROW_ string, rank int, _kept int, key string, slot int, shard string, col int, size long"
+    rows = [(k if k % 5 else None, made(2000 + k, 80 + k), "en" if k % 2 else None, f"s{k % 2}" if k % 3 else None, k, k, "x", k, 1, "k", k, "s", 3, 4) for k in range(30)]
+    docs = spark.createDataFrame(rows, schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        cut = tmp_path / f"o{k}"
+        stage(spark, docs, str(tmp_path)).write.parquet(str(cut))
+        out = spark.read.parquet(str(cut))
+        if name == "shard":
+            assert set(out.columns) == set(docs.columns) | {"input_slot", "input_shard"}
+            assert all(r["input_slot"] == r["n_chars"] and r["input_shard"] == "s" for r in out.collect())
+        else:
+            assert out.columns == docs.columns and all(r["slot"] == r["n_chars"] == r["_row"] for r in out.collect())
+        if name in ("near_dedup", "decontaminate", "shard"):
+            assert out.count() == docs.count()
+        docs = out if name != "shard" else docs
+    none = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0

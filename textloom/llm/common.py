@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder  # noqa: F401
+
 #: The words of most contracts: maximal runs of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,28 +26,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where the session names none (tests) a temporary one is used."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own.get("folder") or _own.setdefault("folder", tempfile.mkdtemp(prefix="textloom-"))
-    return folder
-
-
-_own: dict[str, str] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed now, written to the shared folder as Parquet and read back.
-
-    Lost executors then cost no recomputation, and plans of loops stay short. Spark deletes the files when its JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/textloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:

@@ -79,6 +79,8 @@ def mix(
         ended = F.col("done") | (F.abs(off) <= close * F.greatest(F.col("target"), F.lit(1.0))) | (F.coalesce(F.col("slope"), F.lit(0.0)) <= 0)
         lam = F.when(ended, F.col("lam")).otherwise(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("lam") - off / F.greatest(F.col("slope"), F.lit(1e-300)))))
         state = cut(moved.select("key", "source_size", "n", "target", "mean", lam.alias("lam"), ended.alias("done")))
+    if state.filter(~F.col("done")).limit(1).count():
+        raise RuntimeError(f"Newton's steps did not meet the targets in {steps}")
     d = _rated(docs, state, n_sources, cap)
     tried = d.filter(F.col("size") > 0).select("key", "target", "size", "_id", "rate", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     tried = tried.groupBy("key", "trial").agg(F.sum(F.col("size") * _copies(F.col("trial"), cap)).alias("got"), F.first("target").alias("target"))

@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Production parameters: shards, and slots of the table (a prime, 256 times as many).
 SHARDS, SLOTS = 256, 65_537
 
@@ -49,16 +51,16 @@ def shard(df: DataFrame, id_col: str = "doc_id", names: list[str] | None = None,
 
     The key is the id as text; its slot is the first 60 bits of its MD5, modulo slots, so any engine can place it.
     Null ids count as the empty string; repeated rows go to one shard; an empty table gives an empty result; further
-    columns are ignored.
+    columns are ignored. Columns to keep that are named slot or shard come out as input_slot and input_shard.
     """
     names = names or [f"shard-{k:05d}" for k in range(SHARDS)]
     table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, fill(names, slots)))), ",")).alias("slot", "shard"))
     table = F.broadcast(table.select("slot", F.col("shard").cast("int").alias("shard")))  # slots rows, whatever the input
-    if {"slot", "shard"} & set(keep):
-        raise ValueError("columns slot and shard are made here; rename those of the input")
+    names_out = {c: c if c.lower() not in ("slot", "shard") else free_name(f"input_{c}", [id_col, *keep]) for c in keep}
+    kept = [F.col(c).alias(names_out[c]) for c in keep]
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     slot = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
-    return df.select(F.col(id_col), *keep, slot.alias("slot")).join(table, "slot").select(id_col, *keep, "slot", "shard")
+    return df.select(F.col(id_col), *kept, slot.alias("slot")).join(table, "slot").select(id_col, *names_out.values(), "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", parts: int = 4, **placing) -> None:
