@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns they were given. The stages that reject judge each row by
 itself, whatever its doc_id: null or repeated ones are rows like any other.
+Further columns, whatever their names, come through with their rows; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,47 +13,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, mixing, quality, sharding, simhash
-from textloom.llm.common import cut, small, table
+from textloom.llm.common import cut, free_name, small, table
 
+#: Words that a document needs at least: how short is too short is left to the estimate, for short documents can be clean.
+MIN_WORDS = 1
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of its own for each row. Written, so that every later read sees the same numbers."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, and that column's name. Written, so that every later read sees the same numbers."""
+    row = free_name("_row", docs.columns)
+    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
 
-def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """keyed without the given _row, and without that column: few rows are broadcast, so that texts stay where they are; many are joined."""
-    return keyed.join(small(cut(rows.select("_row"))), "_row", "left_anti").drop("_row")
+
+def _without(keyed: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """keyed without the given rows, and without that column: few rows are broadcast, so that texts stay where they are; many are joined."""
+    return keyed.join(small(cut(gone.select(row))), row, "left_anti").drop(row)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    return _without(keyed, quality.quality_rules(keyed, "_row").filter(~F.col("kept")))
+    """Rejected documents go: those without words (null, empty, blank), with repeats above the limit, or far outside their group's estimate.
+
+    Null languages and sources are groups like others; repeated rows are judged alike.
+    """
+    keyed, row = _keyed(docs)
+    return _without(keyed, row, quality.quality_rules(keyed, row, min_words=MIN_WORDS).filter(~F.col("kept")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: that with the smallest id, null ids last; of rows with that id, the first."""
-    keyed = _keyed(docs)
-    ranked = keyed.withColumn("_rank", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
-    found = simhash.near_duplicates(ranked, "_rank")
-    return _without(keyed, found.filter(F.col("_rank.row") != F.col("component_id.row")).select(F.col("_rank.row").alias("_row")))
+    """One row of each component stays: that with the smallest id, null ids last; of rows with that id, the first.
+
+    Texts without words are alike; repeated rows are copies.
+    """
+    keyed, row = _keyed(docs)
+    ranked = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("rank"), "text")
+    found = simhash.near_duplicates(ranked, "rank")
+    return _without(keyed, row, found.filter(F.col("rank.row") != F.col("component_id.row")).select(F.col("rank.row").alias(row)))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    keyed = _keyed(docs)
-    return _without(keyed, decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), "_row").filter("contaminated"))
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none and stay; repeated rows are judged alike."""
+    keyed, row = _keyed(docs)
+    return _without(keyed, row, decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), row).filter("contaminated"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, as so many rows; those without words are not taken. Null sources are one source.
+
+    Rows that share an id and a size are taken equally often.
+    """
     each = mixing.mix(docs, keep=tuple(docs.columns)).filter("copies > 0")
     return each.select("_kept", F.explode(F.sequence(F.lit(1), "copies"))).select("_kept.*")
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds slot and shard, placed by doc_id without moving a row."""
-    return sharding.shard(docs, keep=tuple(c for c in docs.columns if c != "doc_id")).select(*docs.columns, "slot", "shard")
+    """Adds slot and shard, placed by doc_id without moving a row; all null ids share a shard. Columns of these names come out as input_slot and input_shard."""
+    return sharding.shard(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES = [
