@@ -111,11 +111,12 @@ def dep_report(t: DataFrame, first: int = 10) -> DataFrame:
     return t.filter(C("i") < first).select("doc_id", "i", "text", "dep", "head").join(h, ["doc_id", "head"]).select("doc_id", "i", "text", "dep", "head_text")
 
 
-def document_vectors(t: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(doc_id, v): mean of the vectors (key, v) of the lower-cased tokens that have one."""
-    each = t.select("doc_id", C("lower").alias("key")).join(vectors, "key").select("doc_id", F.posexplode("v").alias("d", "x"))
-    g = each.groupBy("doc_id", "d").agg(F.avg(C("x").cast("double")).alias("x"))
-    return g.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("v"))
+def document_vectors(t: DataFrame, vectors: DataFrame, width: int | None = None) -> DataFrame:
+    """(doc_id, v): mean of the vectors (key, v, of width numbers) of the lower-cased tokens that have one. A document's words are counted before they meet vectors."""
+    width = width or max(0, vectors.select(F.max(F.size("v"))).first()[0] or 0)
+    each = t.groupBy("doc_id", C("lower").alias("key")).agg(F.count("*").alias("n")).join(vectors, "key")
+    sums = each.groupBy("doc_id").agg(F.sum("n").alias("n"), *[F.sum(C("n") * C("v")[k].cast("double")).alias(f"x{k}") for k in range(width)])
+    return sums.select("doc_id", F.array(*[C(f"x{k}") / C("n") for k in range(width)]).alias("v"))
 
 
 def similarity(pairs: DataFrame, docs: DataFrame) -> DataFrame:

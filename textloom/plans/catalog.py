@@ -449,26 +449,33 @@ def moves_order(spark, sf_dir):
     return f.select((F.row_number().over(Window.orderBy("move", F.desc("freq"), F.desc("label"))) - 1).alias("class_idx"), "move", "label", "freq")
 
 
-@query(VEC + ", n AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM e GROUP BY label)), p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, v[1] AS x FROM e), g AS (SELECT DISTINCT label, unnest(range((SELECT n FROM n))) AS t FROM e) SELECT g.label, g.t::INT AS t, round(coalesce(x, 0), 6) + 0.0 AS x FROM g LEFT JOIN p ON g.label = p.label AND g.t = p.t")
+@query(VEC + """, n AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM e GROUP BY label)), p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, v FROM e), g AS (SELECT DISTINCT label, unnest(range((SELECT n FROM n))) AS t FROM e),
+    x AS (SELECT g.label, g.t::INT AS t, coalesce(v, list_transform(range(64), lambda z: 0.0::DOUBLE)) AS v FROM g LEFT JOIN p ON g.label = p.label AND g.t = p.t) SELECT label, t, unnest(range(64))::INT AS k, round(unnest(v), 6) + 0.0 AS x FROM x""")
 def k_pad(spark, sf_dir):
-    """First value of each vector of the padded sequences."""
     v = vectors(spark, sf_dir)
     longest = v.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    padded = kernels.pad(v, longest, 64, "label", "vec_id").select("label", F.posexplode("v").alias("t", "w"))
-    return padded.select("label", "t", (F.round(C("w")[0], 6) + 0.0).alias("x"))
+    padded = kernels.pad(v, longest, 64, "label", "vec_id").select("label", F.posexplode("v").alias("t", "v"))
+    return _flat(padded, "label", "t")
 
 
-@query(TOK + VEC.replace("WITH ", ", ") + """, d AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS k FROM (SELECT DISTINCT lower AS text FROM tok WHERE regexp_matches(lower, '^[a-z]{1,3}$'))), vt AS (SELECT text AS key, v FROM d JOIN e ON e.vec_id = d.k),
-    x AS (SELECT doc_id, unnest(range(64)) AS k, unnest(v) AS x FROM tok JOIN vt ON tok.lower = vt.key), m AS (SELECT doc_id, k, avg(x) AS x FROM x GROUP BY ALL), l AS (SELECT doc_id, list(x ORDER BY k) AS v FROM m GROUP BY 1),
+def _dealt(key):
+    """The vector of embeddings that stands for a word: by its MD5, so that any engine finds the same."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+_DEALT = "(('0x' || substr(md5({}), 1, 15))::BIGINT % (SELECT count(*) FROM e))"
+
+
+@query(TOK + VEC.replace("WITH ", ", ") + f""", c AS (SELECT doc_id, {_DEALT.format("lower")} AS vec_id, count(*) AS n FROM tok GROUP BY ALL),
+    x AS (SELECT doc_id, n, unnest(range(64)) AS k, unnest(v) AS x FROM c JOIN e USING (vec_id)), m AS (SELECT doc_id, k, sum(x * n) / sum(n) AS x FROM x GROUP BY ALL), l AS (SELECT doc_id, list(x ORDER BY k) AS v FROM m GROUP BY 1),
     docs AS (SELECT DISTINCT doc_id AS a, doc_id + 1 AS b FROM documents) SELECT a, b, round(coalesce(list_cosine_similarity(p.v, q.v), 0), 5) + 0.0 AS similarity FROM docs LEFT JOIN l p ON p.doc_id = a LEFT JOIN l q ON q.doc_id = b""")
 def doc_similarity(spark, sf_dir):
-    """Each document with the next one, by the means of their short words' vectors (those of embeddings, dealt out in order)."""
-    t = tokens(spark, sf_dir)
-    short = t.filter(C("lower").rlike("^[a-z]{1,3}$")).select(C("lower").alias("key")).distinct()
-    key = short.select("key", (F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("vec_id"))
-    table = key.join(vectors(spark, sf_dir).select("vec_id", "v"), "vec_id").select("key", "v")
+    """Each document with the next one, by the means of their words' vectors: those of embeddings, dealt out to all words."""
+    t, v = _once(spark, sf_dir), vectors(spark, sf_dir)
+    n = v.count()
+    table = t.select(C("lower").alias("key")).distinct().withColumn("vec_id", F.pmod(_dealt(C("key")), F.lit(n))).join(v, "vec_id").select("key", "v")
     pairs = docs(spark, sf_dir).select(C("doc_id").alias("a"), (C("doc_id") + 1).alias("b")).distinct()
-    s = workflows.similarity(pairs, workflows.document_vectors(t, table))
+    s = workflows.similarity(pairs, workflows.document_vectors(t, table, 64))
     return s.select("a", "b", (F.round("similarity", 5) + 0.0).alias("similarity"))
 
 
@@ -478,11 +485,11 @@ def token_diff(spark, sf_dir):
     return evaluate.token_diff(t.withColumn("text", F.when(C("i") % 5 == 0, F.concat("text", F.lit("~"))).otherwise(C("text"))), t)
 
 
-@query(TOK + VEC.replace("WITH ", ", ") + ", k AS (SELECT pos, (row_number() OVER (ORDER BY pos) - 1) AS vec_id FROM (SELECT DISTINCT pos FROM tok WHERE pos < 'P')) SELECT t.pos, round(coalesce(any_value(e.v[1]), 0), 6) + 0.0 AS x, count(*) AS n FROM tok t LEFT JOIN k ON t.pos = k.pos LEFT JOIN e ON e.vec_id = k.vec_id GROUP BY 1")
+@query(TOK + VEC.replace("WITH ", ", ") + f", c AS (SELECT pos, count(*) AS n FROM tok GROUP BY 1), p AS (SELECT pos, n, v FROM c LEFT JOIN e ON e.vec_id = {_DEALT.format('pos')} AND pos < 'P') SELECT pos, n, unnest(range(64))::INT AS k, round(unnest(coalesce(v, list_transform(range(64), lambda z: 0.0::DOUBLE))), 6) + 0.0 AS x FROM p")
 def static_vectors(spark, sf_dir):
     """Vectors by key, zeros outside the table: parts of speech stand for keys, and those from P on have no vector."""
-    t = tokens(spark, sf_dir).select(C("pos").alias("text"))
-    key = t.filter("text < 'P'").distinct().select(C("text").alias("key"), (F.row_number().over(Window.orderBy("text")) - 1).cast("long").alias("vec_id"))
-    table = key.join(vectors(spark, sf_dir).select("vec_id", "v"), "vec_id").select("key", "v")
-    v = kernels.static_vectors(t, table.withColumn("v", F.transform("v", lambda x: x.cast("double"))), 64)
-    return v.groupBy(C("text").alias("pos")).agg((F.round(F.first(C("v")[0]), 6) + 0.0).alias("x"), F.count("*").alias("n"))
+    t, v = tokens(spark, sf_dir).select(C("pos").alias("text")), vectors(spark, sf_dir)
+    n = v.count()
+    table = t.filter("text < 'P'").distinct().select(C("text").alias("key"), F.pmod(_dealt(C("text")), F.lit(n)).alias("vec_id")).join(v, "vec_id").select("key", "v")
+    found = kernels.static_vectors(t, table, 64).groupBy(C("text").alias("pos")).agg(F.first("v").alias("v"), F.count("*").alias("n"))
+    return _flat(found, "pos", "n")
