@@ -113,3 +113,18 @@ def contamination(
 def digest(found: DataFrame) -> DataFrame:
     """The result with items as the hash of the joined ids."""
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+def oracle(window: int = 10) -> str:
+    """The digest in SQL, with whole windows as keys."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+    WITH d AS (SELECT doc_id, {words} AS ws FROM documents), b AS (SELECT item_id, {words} AS ws FROM benchmark),
+    bs AS (SELECT item_id, ws, least(len(ws), {window}) AS k, unnest(range(1, greatest(len(ws) - {window - 1}, 1) + 1)) AS s FROM b WHERE len(ws) > 0),
+    bw AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(ws[s:s + k - 1], ' ') AS t FROM bs),
+    ds AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k),
+    hit AS MATERIALIZED (SELECT doc_id, s, k, item_id FROM (SELECT doc_id, k, s, array_to_string(ws[s:s + k - 1], ' ') AS t FROM ds) JOIN bw USING (k, t)),
+    cov AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, s + unnest(range(k)) AS i FROM hit) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""

@@ -55,4 +55,4 @@ QUERIES = {
         op6_token_counts, op7_decontaminate, op8_quality_mcd, op9_shard_lookup, op10_pii_field,
     )
 }
-ORACLE_SQL = {"op9_shard_lookup": sharding.oracle()}
+ORACLE_SQL = {"op5_repeated_windows": substrings.oracle(), "op7_decontaminate": decontaminate.oracle(), "op9_shard_lookup": sharding.oracle()}

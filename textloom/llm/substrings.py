@@ -204,3 +204,16 @@ def digest(kept: DataFrame) -> DataFrame:
     """The result with the kept text as its hash."""
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
+
+def oracle(width: int = 20) -> str:
+    """The digest in SQL, with whole windows as keys."""
+    return rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\v\f]+') AS ws FROM documents),
+    s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {width - 2})) AS start FROM w WHERE len(ws) >= {width}),
+    win AS (SELECT doc_id, start, array_to_string(ws[start:start + {width - 1}], ' ') AS t FROM s),
+    early AS (SELECT t, min({{'d': doc_id, 's': start}}) AS f FROM win GROUP BY t HAVING count(*) > 1),
+    bad AS (SELECT doc_id, start FROM win JOIN early USING (t) WHERE doc_id <> f.d OR start <> f.s),
+    gone AS (SELECT DISTINCT doc_id, start + unnest(range({width})) AS i FROM bad),
+    word AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w),
+    left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN left_over USING (doc_id)"""
