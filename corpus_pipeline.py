@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from textloom.llm import decontaminate, mixing, quality, sharding, simhash
 from textloom.llm.common import cut, free_name, small, table
 
-#: Words that a document needs at least: how short is too short is left to the estimate, for short documents can be clean.
-MIN_WORDS = 1
+#: Words that a document needs at least, a shingle of them: beyond that, how short is too short is left to the estimate, for short documents can be clean.
+MIN_WORDS = 3
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -31,7 +31,7 @@ def _without(keyed: DataFrame, row: str, gone: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: those without words (null, empty, blank), with repeats above the limit, or far outside their group's estimate.
+    """Rejected documents go: those of fewer than MIN_WORDS words (null, empty and blank ones too), with repeats above the limit, or far outside their group's estimate.
 
     Null languages and sources are groups like others; repeated rows are judged alike.
     """
