@@ -143,6 +143,40 @@ def test_vantage_points(seed):
     assert (simhash.linked(f, leaf=32) == simhash._labels(i, j, len(f))).all()
 
 
+def tight(n, seed=5):
+    """Distinct fingerprints around one center, none further than eight bits, that no vantage point divides."""
+    r = np.random.default_rng(seed)
+    f = np.full(n, r.integers(0, 2**63, dtype=np.uint64))
+    for _ in range(8):
+        f ^= np.uint64(1) << r.integers(0, 64, n, dtype=np.uint64)
+    return np.unique(f)
+
+
+def reached(f):
+    """Smallest index reached over pairs of at most two bits, by comparing all rows in blocks."""
+    pairs = [np.nonzero(np.bitwise_count(f[k:k + 512, None] ^ f[None, :]) <= 2) for k in range(0, len(f), 512)]
+    return simhash._labels(np.concatenate([i + 512 * k for k, (i, _) in enumerate(pairs)]), np.concatenate([j for _, j in pairs]), len(f))
+
+
+def test_tight_cluster(spark):
+    """Half-way points find what comparing all rows finds: in an undivided leaf, and over shards too large for a task."""
+    import tracemalloc
+
+    f = tight(20_000)
+    assert (simhash.linked(f) == reached(f)).all()
+    f = tight(50_000, 6)
+    tracemalloc.start()
+    simhash.linked(f)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    f = np.unique(np.concatenate([tight(1500, 7), np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    want, at = reached(f), {int(x): k for k, x in enumerate(f.view(np.int64))}
+    for largest in (200, 10):
+        edges = [(at[r["a"]], at[r["b"]]) for r in simhash.links(df, len(f), shard_rows=300, largest=largest).collect()]
+        assert (simhash._labels(np.array([a for a, _ in edges]), np.array([b for _, b in edges]), len(f)) == want).all()
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (200, 150), (150, 300)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

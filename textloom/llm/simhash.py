@@ -9,6 +9,12 @@ splits make shards, in SQL; within a shard a tree of such splits ends in leaves
 that are compared outright. A leaf and a shard return links from a class to the
 smallest one that it reaches there, not pairs: a group of n linked classes makes
 n rows. Components of those links are found by passing on smallest labels.
+
+No vantage point divides a tight cluster. Such a one, large, is linked by points
+half-way: two fingerprints differ in at most two bits exactly if flipping at most
+one bit of each can give the same point. That is 65 points a row, sorted, instead
+of all pairs; no point has more than 65 rows. A shard above a fixed number of
+rows is linked so by a shuffle on the points, so no task takes more than that.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from ..session import ship
 from .common import cut, small
 
 LEAF, SHARD_ROWS = 192, 4096
+#: An undivided leaf of more rows, and a shard of more rows, are linked by points half-way.
+OUTRIGHT, LARGEST_SHARD = 2048, 65_536
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -79,6 +87,17 @@ def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return lab
 
 
+def _half_way(x: np.ndarray) -> np.ndarray:
+    """Smallest index that each of the distinct fingerprints reaches over pairs of at most two differing bits."""
+    n = len(x)
+    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
+    points = (x[:, None] ^ flips[None, :]).ravel()
+    order = np.argsort(points, kind="stable")
+    same = points[order[1:]] == points[order[:-1]]
+    row = order // len(flips)
+    return _labels(row[1:][same], row[:-1][same], n)
+
+
 def linked(fps: np.ndarray, max_bits: int = 2, leaf: int = LEAF) -> np.ndarray:
     """Smallest index that each of the distinct fingerprints reaches over pairs of at most max_bits differing bits."""
     n = len(fps)
@@ -105,9 +124,10 @@ def linked(fps: np.ndarray, max_bits: int = 2, leaf: int = LEAF) -> np.ndarray:
         if best is not None and best[0] <= 0.9 * len(at):
             stack += [at[best[1]], at[best[2]]]
             continue
-        # A leaf, or a cluster that no vantage point divides: rows against rows, in blocks; links to the smallest reached so far.
-        own = np.arange(len(at))
-        for k in range(0, len(at), 512):
+        # A leaf, or a cluster that no vantage point divides: half-way points, or rows against rows, in blocks; links to the smallest reached so far.
+        half_way = max_bits == 2 and len(at) > OUTRIGHT
+        own = _half_way(x) if half_way else np.arange(len(at))
+        for k in range(0, 0 if half_way else len(at), 512):
             i, j = np.nonzero(np.bitwise_count(x[k:k + 512, None] ^ x[None, :]) <= max_bits)
             if len(i) > len(x[k:k + 512]):
                 keep = i + k < j
@@ -135,10 +155,23 @@ def _shards(classes: DataFrame, levels: int, max_bits: int) -> DataFrame:
     return classes.select("fp", F.explode(paths).alias("shard"))
 
 
-def links(classes: DataFrame, n: int, max_bits: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b) links that connect exactly the distinct fp within max_bits of each other, directly or over others; n: their number."""
+def _star_links(rows: DataFrame) -> DataFrame:
+    """(a, b) links of the distinct fp within two bits: each with the smallest at each of its points half-way."""
+    fp = F.col("fp")
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
+    points = rows.select("fp", F.explode(F.transform(flips, lambda f: fp.bitwiseXOR(f))).alias("point"))
+    # A point has at most 65 rows, one for each flip, so its list is short.
+    met = points.groupBy("point").agg(F.collect_list("fp").alias("met")).filter(F.size("met") > 1)
+    return met.select(F.explode("met").alias("a"), F.array_min("met").alias("b")).filter("a <> b")
+
+
+def links(classes: DataFrame, n: int, max_bits: int = 2, shard_rows: int = SHARD_ROWS, largest: int = LARGEST_SHARD) -> DataFrame:
+    """(a, b) links that connect exactly the distinct fp within max_bits of each other, directly or over others; n: their number.
+
+    Shards of more than largest rows (max_bits 2 only) are linked by a shuffle on points half-way, not in one task.
+    """
     levels = 0
-    while n * 0.645**levels > shard_rows and levels < 40:
+    while n * 0.645**levels > shard_rows:
         levels += 1
 
     def run(key, t):
@@ -147,7 +180,13 @@ def links(classes: DataFrame, n: int, max_bits: int = 2, shard_rows: int = SHARD
         on = np.nonzero(lab != np.arange(len(fps)))[0]
         return pa.table({"a": fps[on].view(np.int64), "b": fps[lab[on]].view(np.int64)})
 
-    return _shards(classes, levels, max_bits).groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+    shards = cut(_shards(classes, levels, max_bits))
+    large = cut(shards.groupBy("shard").count().filter(F.col("count") > largest).select("shard"))
+    if max_bits != 2 or not large.limit(1).count():
+        return shards.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+    bound = small(large)
+    whole = shards.join(bound, "shard", "left_anti").groupBy("shard").applyInArrow(run, "a long, b long")
+    return whole.unionByName(_star_links(shards.join(bound, "shard", "left_semi").select("fp").distinct())).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
