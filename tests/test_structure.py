@@ -42,6 +42,31 @@ def test_spans(tok):
     assert rows(structure.entities(tok), "start", "end", "label") == [(1, 3, "X"), (3, 4, "P"), (6, 7, "P"), (7, 8, "Q")]
 
 
+def test_deep_trees(spark):
+    """Left edges of chains, random trees and cycles against walks over heads; conjunct chains of any length end at one head."""
+    import random
+
+    r = random.Random(3)
+    docs = {1: [max(i - 1, 0) for i in range(37)], 2: [min(i + 1, 20) for i in range(21)], 3: [r.randrange(30) for _ in range(30)], 4: [1, 2, 0, 2, 3], 5: [0]}
+    schema = "doc_id long, i int, head int, dep string, pos string"
+    t = spark.createDataFrame([(d, i, h, "x", "X") for d, heads in docs.items() for i, h in enumerate(heads)], schema)
+    want = {}
+    for d, heads in docs.items():
+        for i in range(len(heads)):
+            at, seen = i, set()
+            while at not in seen:
+                seen.add(at)
+                want[d, at] = min(want.get((d, at), at), i)
+                at = heads[at]
+    assert {(a, i): e for a, i, e in rows(structure.left_edge(t), "doc_id", "i", "left_edge")} == want
+    assert structure.left_edge(t.limit(0)).count() == 0
+    listed = [(d, i, max(i - 1, 0), "conj" if i else top, "NOUN") for d, top in ((1, "nsubj"), (2, "nmod")) for i in range(19)]
+    flat = structure._conjunct_ends(spark.createDataFrame(listed, schema))
+    assert rows(flat, "doc_id", "at", "end") == [(d, i, 0) for d in (1, 2) for i in range(1, 19)]
+    # Only the chain whose first head has a chunk label makes chunks, one a noun.
+    assert rows(structure.noun_chunks(spark.createDataFrame(listed, schema)), "doc_id", "start", "end") == [(1, i, i + 1) for i in range(19)]
+
+
 def test_deprojectivize(spark):
     t = table(spark, [("a", "", "", 0, "ROOT", 1, 2, ""), ("b", "", "", 0, "x", 0, 2, ""), ("c", "", "", 1, "want", 0, 2, ""), ("d", "", "", 0, "own||want", 0, 2, "")])
     assert rows(structure.deprojectivize(t), "i", "head", "dep")[3] == (3, 2, "own")

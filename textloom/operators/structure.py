@@ -50,8 +50,38 @@ def subtree(tokens: DataFrame) -> DataFrame:
 
 
 def left_edge(tokens: DataFrame) -> DataFrame:
-    """(doc_id, i, left_edge): first token of each subtree."""
-    return ancestors(tokens).groupBy("doc_id", F.col("anc").alias("i")).agg(F.min("i").alias("left_edge"))
+    """(doc_id, i, left_edge): first token of each subtree.
+
+    Each round a token takes the least of those whose head lies 2**k steps up at it, and heads reach twice as far: a row a token,
+    however deep the tree. Cycles end with the longest document's length.
+    """
+    from ..plans.lineage import cut
+
+    state = cut(tokens.select("doc_id", "i", F.col("i").alias("left_edge"), F.col("head").alias("up")))
+    longest = state.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(longest - 1, 0).bit_length()):
+        below = state.groupBy("doc_id", F.col("up").alias("i")).agg(F.min("left_edge").alias("low"))
+        above = state.select("doc_id", F.col("i").alias("up"), F.col("up").alias("further"))
+        both = state.join(below, ["doc_id", "i"], "left").join(above, ["doc_id", "up"], "left")
+        further = F.coalesce("further", "up")
+        state = cut(both.select("doc_id", "i", F.least("left_edge", "low").alias("left_edge"), further.alias("up"), (further != F.col("up")).alias("moved")))
+        if state.filter("moved").limit(1).count() == 0:
+            break
+        state = state.drop("moved")
+    return state.select("doc_id", "i", "left_edge")
+
+
+def _conjunct_ends(tokens: DataFrame) -> DataFrame:
+    """(doc_id, at, end): for each conjunct whose head lies to its left the token where climbing over such conjuncts ends. Reach doubles each round."""
+    from ..plans.lineage import cut
+
+    ends = cut(tokens.filter("dep = 'conj' AND head < i").select("doc_id", F.col("i").alias("at"), F.col("head").alias("end")))
+    while True:
+        on = ends.select("doc_id", F.col("at").alias("end"), F.col("end").alias("further"))
+        step = cut(ends.join(on, ["doc_id", "end"], "left").select("doc_id", "at", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")))
+        ends = step.drop("moved")
+        if step.filter("moved").limit(1).count() == 0:
+            return ends
 
 
 def with_sentence(tokens: DataFrame) -> DataFrame:
@@ -78,17 +108,10 @@ def noun_chunks(tokens: DataFrame) -> DataFrame:
     edge = left_edge(tokens)
     nominal = tokens.filter(F.col("pos").isin("NOUN", "PROPN", "PRON"))
     direct = nominal.filter(F.col("dep").isin(*CHUNK_DEPS)).select("doc_id", "i")
-    chain = nominal.filter("dep = 'conj'").select("doc_id", "i", F.col("head").alias("at"), F.col("i").alias("below"))
-    heads = tokens.select("doc_id", F.col("i").alias("at"), F.col("dep").alias("head_dep"), F.col("head").alias("above"))
-    via, climbing = None, cut(chain)
-    while climbing.limit(1).count():  # one round for each conjunct of the longest chain
-        step = climbing.join(heads, ["doc_id", "at"])
-        goes_on = (C("head_dep") == "conj") & (C("above") < C("at"))
-        ended = step.filter(~goes_on & C("head_dep").isin(*CHUNK_DEPS)).select("doc_id", "i")
-        via = ended if via is None else via.unionByName(ended)
-        climbing = cut(step.filter(goes_on).select("doc_id", "i", C("above").alias("at"), C("at").alias("below")))
-    via = direct.limit(0) if via is None else via
-    found = direct.unionByName(via).distinct().join(edge, ["doc_id", "i"])
+    chain = nominal.filter("dep = 'conj'").select("doc_id", "i", C("head").alias("at"))
+    ended = chain.join(_conjunct_ends(tokens), ["doc_id", "at"], "left").select("doc_id", "i", F.coalesce("end", "at").alias("end"))
+    heads = tokens.filter(C("dep").isin(*CHUNK_DEPS)).select("doc_id", C("i").alias("end"))
+    found = direct.unionByName(ended.join(heads, ["doc_id", "end"]).select("doc_id", "i")).distinct().join(edge, ["doc_id", "i"])
     ordered = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "left_edge"))).alias("c"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     kept = F.aggregate(
