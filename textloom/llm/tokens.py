@@ -1,8 +1,8 @@
 """Token counts by the whole-token shortcut.
 
 Most pre-tokens of a text are strings of the vocabulary. Which of those the
-library encodes as one token, whole, is proved once before any text is read, by
-encoding each; a pre-token among them counts one. Only the rest are merged by
+library encodes as one token, whole, is proved once, on the driver, before any
+text is read, by encoding each; a pre-token among them counts one. Only the rest are merged by
 the library. Space-separated pieces are independent (the tokenizer drops white
 space and no pre-token crosses it), so a piece's count is kept for the next time,
 in a table of bounded size.
@@ -28,27 +28,27 @@ blank = regex.compile(r"\s").search
 
 
 class Counter:
-    """Token counts of texts for a JSON tokenizer with word ends; one for each Python worker."""
+    """Token counts of texts for a JSON tokenizer with word ends; one for each Python worker. whole: what was proved before, if it was."""
 
-    def __init__(self, path: str, pretoken: str = PRETOKEN, word_end: str = "</w>"):
+    def __init__(self, path: str, whole: frozenset[str] | None = None, pretoken: str = PRETOKEN, word_end: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.split = regex.compile(pretoken).findall
         assert all(t.content.startswith("<|") for t in self.lib.get_added_tokens_decoder().values())
-        self.whole = self._proved(word_end)
+        self.whole = self._proved(word_end) if whole is None else whole
         self.word_end = word_end
         self.known: dict[str, int] = {"": 0}
         self.words = dict.fromkeys(self.whole, 1)
 
-    def _proved(self, word_end: str) -> set[str]:
+    def _proved(self, word_end: str) -> frozenset[str]:
         """Vocabulary strings that, as a text, are one pre-token, unchanged by the normalizer, and one token."""
         from tokenizers.decoders import ByteLevel
 
         back = ByteLevel()
         words = sorted({back.decode([v[: -len(word_end)]]) for v in self.lib.get_vocab() if v.endswith(word_end)})
         words = [w for w in words if w and self.split(w) == [w] and self.lib.normalizer.normalize_str(w) == w]
-        return {w for w, e in zip(words, self.lib.encode_batch(words, add_special_tokens=False)) if len(e.ids) == 1}
+        return frozenset(w for w, e in zip(words, self.lib.encode_batch(words, add_special_tokens=False)) if len(e.ids) == 1)
 
     def _count_new(self, pieces: list[str]) -> None:
         """Counts of pieces not met before. The library merges the words left over in one text; a token that ends a word says so."""
@@ -100,9 +100,9 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
     if path not in _counters:
-        _counters[path] = Counter(path)
+        _counters[path] = Counter(path, whole)
     return _counters[path]
 
 
@@ -126,11 +126,13 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     an empty result.
     """
     ship(df.sparkSession)
+    # Proved once, on the driver: at most the vocabulary's strings, whatever the input.
+    proved = df.sparkSession.sparkContext.broadcast(counter(path).whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from textloom.llm.tokens import counter, slices
 
-        count = counter(path).counts
+        count = counter(path, proved.value).counts
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [x for i, j in slices([len(t) for t in texts], 2_000_000) for x in count(texts[i:j])]
