@@ -60,9 +60,15 @@ def test_totals(spark, odd, graphs):
     assert same(pairs(graphs), structure.subtree_totals(graphs))
     before = written(spark)
     alone = annotate.apart(catalog.docs(spark, odd))[0]
-    got = structure.subtree_totals(annotate.annotated(alone), ordered=True)
+    got = annotate.annotated(alone, work=structure.SUBTREE_TOTALS)
     assert got.count() and written(spark) == before  # nothing but texts is read, nothing is written
     assert same(pairs(annotate.annotate(annotate.simple_tokens(alone))), got)
     assert same(pairs(catalog.tokens(spark, odd)), catalog.QUERIES["subtree"](spark, odd))
     with pytest.raises(Exception, match="share a document"):
         structure.subtree_totals(graphs.union(graphs)).collect()
+
+
+def test_chunk_texts(spark, odd, graphs):
+    assert same(workflows.noun_chunk_texts(graphs), structure.noun_chunk_texts(graphs))
+    assert same(workflows.noun_chunk_texts(catalog.tokens(spark, odd)), catalog.QUERIES["w15_noun_chunks"](spark, odd))
+    assert structure.noun_chunk_texts(graphs.limit(0)).count() == 0
