@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +18,18 @@ def _lengths(got: DataFrame, want: DataFrame) -> DataFrame:
     return n.select("doc_id", C("g").cast("string").alias("got"), C("w").cast("string").alias("want"))
 
 
+def _differing(both: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The tokens whose sides differ in some field: compared before anything is built of them."""
+    return both.filter(reduce(lambda x, y: x | y, [~C(f"a.{f}").eqNullSafe(C(f"b.{f}")) for f in fields]))
+
+
 def token_diff(got: DataFrame, want: DataFrame) -> DataFrame:
     """(doc_id, kind, i, got, want): documents of different length differ in length alone; else text, idx and ws, token by token."""
     odd = _lengths(got, want).select("doc_id", F.lit("length").alias("kind"), F.lit(-1).alias("i"), "got", "want")
     both = got.alias("a").join(want.alias("b"), ["doc_id", "i"]).join(odd.select("doc_id"), "doc_id", "left_anti")
     fields = ("text", "idx", "ws")
-    each = both.select("doc_id", "i", F.explode(F.array(*[F.struct(F.lit(f).alias("kind"), C(f"a.{f}").cast("string").alias("got"), C(f"b.{f}").cast("string").alias("want")) for f in fields])).alias("d"))
-    return odd.unionByName(each.filter(~C("d.got").eqNullSafe(C("d.want"))).select("doc_id", "d.kind", "i", "d.got", "d.want"))
+    each = _differing(both, fields).select("doc_id", "i", F.explode(F.array(*[F.struct(F.lit(f).alias("kind"), C(f"a.{f}").cast("string").alias("got"), C(f"b.{f}").cast("string").alias("want")) for f in fields])).alias("d"))
+    return each.filter(~C("d.got").eqNullSafe(C("d.want"))).select("doc_id", "d.kind", "i", "d.got", "d.want")
 
 
 def classify(got: DataFrame, want: DataFrame) -> DataFrame:
@@ -41,10 +47,15 @@ def attr_diff(got: DataFrame, want: DataFrame, attrs: tuple[str, ...] = ("tag",
     rows = F.array(*[F.struct(F.lit(f).alias("attr"), C(f"a.{f}").alias("got"), C(f"b.{f}").alias("want")) for f in ("text", *attrs)])
     wrong = F.filter(rows, lambda x: ~x["got"].eqNullSafe(x["want"]))
     wrong = F.when(C("a.text") != C("b.text"), F.filter(rows, lambda x: x["attr"] == "text")).otherwise(wrong)
-    each = both.join(odd.select("doc_id"), "doc_id", "left_anti").select("doc_id", "i", F.inline(wrong))
+    return _differing(both, ("text", *attrs)).select("doc_id", "i", F.inline(wrong))
+    each = attr_diff_of(both.join(odd.select("doc_id"), "doc_id", "left_anti"), attrs)
     return each.unionByName(odd.select("doc_id", F.lit(-1).alias("i"), F.lit("length").alias("attr"), "got", "want"))
 
 
+def attr_diff_of(both: DataFrame, attrs: tuple[str, ...] = ("tag", "pos", "morph", "lemma")) -> DataFrame:
+    """attr_diff of tokens that stand side by side already: (doc_id, i, a, b), structs of got's and want's columns."""
+
+
 def attachment(got: DataFrame, want: DataFrame) -> DataFrame:
     """(n, uas, las) over all tokens; 0 where there are none. Raises if a document's numbers of tokens differ."""
     odd = _lengths(got, want).agg(F.count("*").alias("odd"))
