@@ -27,6 +27,11 @@ def token_diff(got: DataFrame, want: DataFrame) -> DataFrame:
     """(doc_id, kind, i, got, want): documents of different length differ in length alone; else text, idx and ws, token by token."""
     odd = _lengths(got, want).select("doc_id", F.lit("length").alias("kind"), F.lit(-1).alias("i"), "got", "want")
     both = got.alias("a").join(want.alias("b"), ["doc_id", "i"]).join(odd.select("doc_id"), "doc_id", "left_anti")
+    return odd.unionByName(token_diff_of(both))
+
+
+def token_diff_of(both: DataFrame) -> DataFrame:
+    """token_diff of tokens that stand side by side already: (doc_id, i, a, b), structs of got's and want's columns."""
     fields = ("text", "idx", "ws")
     each = _differing(both, fields).select("doc_id", "i", F.explode(F.array(*[F.struct(F.lit(f).alias("kind"), C(f"a.{f}").cast("string").alias("got"), C(f"b.{f}").cast("string").alias("want")) for f in fields])).alias("d"))
     return each.filter(~C("d.got").eqNullSafe(C("d.want"))).select("doc_id", "d.kind", "i", "d.got", "d.want")
@@ -44,16 +49,16 @@ def attr_diff(got: DataFrame, want: DataFrame, attrs: tuple[str, ...] = ("tag",
     """(doc_id, i, attr, got, want); where the text differs, only that. A document whose numbers of tokens differ has one row: attr length, i -1."""
     odd = _lengths(got, want)
     both = got.alias("a").join(want.alias("b"), ["doc_id", "i"])
-    rows = F.array(*[F.struct(F.lit(f).alias("attr"), C(f"a.{f}").alias("got"), C(f"b.{f}").alias("want")) for f in ("text", *attrs)])
-    wrong = F.filter(rows, lambda x: ~x["got"].eqNullSafe(x["want"]))
-    wrong = F.when(C("a.text") != C("b.text"), F.filter(rows, lambda x: x["attr"] == "text")).otherwise(wrong)
-    return _differing(both, ("text", *attrs)).select("doc_id", "i", F.inline(wrong))
     each = attr_diff_of(both.join(odd.select("doc_id"), "doc_id", "left_anti"), attrs)
     return each.unionByName(odd.select("doc_id", F.lit(-1).alias("i"), F.lit("length").alias("attr"), "got", "want"))
 
 
 def attr_diff_of(both: DataFrame, attrs: tuple[str, ...] = ("tag", "pos", "morph", "lemma")) -> DataFrame:
     """attr_diff of tokens that stand side by side already: (doc_id, i, a, b), structs of got's and want's columns."""
+    rows = F.array(*[F.struct(F.lit(f).alias("attr"), C(f"a.{f}").alias("got"), C(f"b.{f}").alias("want")) for f in ("text", *attrs)])
+    wrong = F.filter(rows, lambda x: ~x["got"].eqNullSafe(x["want"]))
+    wrong = F.when(C("a.text") != C("b.text"), F.filter(rows, lambda x: x["attr"] == "text")).otherwise(wrong)
+    return _differing(both, ("text", *attrs)).select("doc_id", "i", F.inline(wrong))
 
 
 def attachment(got: DataFrame, want: DataFrame) -> DataFrame:
