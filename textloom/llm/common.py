@@ -12,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 #: A joined side is broadcast up to this many rows; the callers' rows are under 400 bytes.
 BROADCAST_ROWS = 100_000
+#: State of loops, a row or three a group, is held by the driver up to this many rows, else written.
+HELD_ROWS = 1_000
 
 
 def words(text: Column | str) -> Column:
@@ -34,9 +36,29 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def held(df: DataFrame, rows: int) -> DataFrame:
+    """cut() for a loop's state, of at most the given number of rows: few are kept in the plan itself.
+
+    Each stage and each file scan costs the driver a buffer of 4 MB (spark.broadcast.blockSize), so that rounds over files take
+    far more of its memory than the few rows that they pass on.
+    """
+    if rows > HELD_ROWS:
+        return cut(df)
+    found = df.toArrow()
+    return df.sparkSession.createDataFrame(found if found.num_rows else [], df.schema)
+
+
+def some(df: DataFrame) -> bool:
+    """Whether df has rows: as few partitions as that takes are read, without an exchange."""
+    return bool(df.select(F.lit(1)).take(1))
+
+
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most bound rows, else as it is: the join then shuffles and AQE splits hot keys."""
-    rows = df.limit(bound + 1).count() if rows is None else rows
+    """df with a broadcast hint if it has at most bound rows, else as it is: the join then shuffles and AQE splits hot keys.
+
+    Without rows, df is counted; of a cut that reads no more than the files' own numbers of rows.
+    """
+    rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows <= bound else df
 
 

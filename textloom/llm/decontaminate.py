@@ -52,13 +52,16 @@ def _places(docs: DataFrame, keys: DataFrame, width: int, window: int, set_bound
     first = lambda p: F.greatest(p - (window - 1), F.lit(0))
     place = lambda p, h, k: F.struct(p.alias("p"), h.alias("h"), k.alias("k"), F.slice(w, first(p) + 1, F.lit(2 * window)).alias("near"), first(p).alias("first"))
     read = docs.select("id", plain_words(F.col("text")).alias("w"))
-    lengths = sorted(r.k for r in keys.select("k").distinct().collect())  # at most width of them
-    if keys.limit(set_bound + 1).count() <= set_bound:
-        known = {k: [r.h for r in keys.filter(F.col("k") == k).collect()] for k in lengths}
+    known: dict[int, list[int]] = {}  # at most width lengths
+    for r in keys.limit(set_bound + 1).collect():
+        known.setdefault(r.k, []).append(r.h)
+    lengths = sorted(known)
+    if sum(map(len, known.values())) <= set_bound:
         at = lambda k: F.transform(F.filter(span(k), lambda i: _shingle(w, i, k).isin(known[k])), lambda i: place(i, _shingle(w, i, k), F.lit(k)))
         spots = [at(k) for k in lengths]
         spots = F.concat(*spots) if spots else F.filter(F.array(place(F.lit(0), F.lit(0).cast("long"), F.lit(0))), lambda x: F.lit(False))
         return cut(read.select("id", F.monotonically_increasing_id().alias("row"), F.size(w).cast("long").alias("n_words"), spots.alias("places")))
+    lengths = sorted(r.k for r in keys.select("k").distinct().collect())
     base = cut(read.select("id", F.monotonically_increasing_id().alias("row"), "w"))
     found = None
     for k in lengths:

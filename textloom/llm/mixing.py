@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, words
+from .common import cut, held, small, some, words
 
 WEIGHTS, BUDGET, CAP = (3, 1, 2), 1.5, 2
 
@@ -59,33 +59,33 @@ def mix(
     docs = cut(df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("key"), F.size(words(text_col)).cast("long").alias("size")))
     sizes = cut(docs.groupBy("key", "size").agg(F.count("*").alias("n")))
     totals = sizes.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
-    aim = cut(targets(totals, weights, budget, cap))
-    n_sources = aim.count()
     full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-9)
-    state = aim.select("*", (F.col("source_size") / F.col("n")).alias("mean"), F.when(full, 700.0).otherwise(0.0).alias("lam"), full.alias("done"))
+    state = targets(totals, weights, budget, cap).select("*", (F.col("source_size") / F.col("n")).alias("mean"), F.when(full, 700.0).otherwise(0.0).alias("lam"), full.alias("done"))
     state = cut(state)
+    n_sources = state.count()
     exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
     for _ in range(steps):
-        if state.filter(~F.col("done")).limit(1).count() == 0:
+        if not some(state.filter(~F.col("done"))):
             break
-        s = small(state, n_sources)
-        at = sizes.filter(F.col("size") > 0).alias("z").join(s.alias("s"), F.col("z.key").eqNullSafe(F.col("s.key")))
-        x = F.col("z.size") / F.col("s.mean")
+        # Every source has a size, if only zero, so each comes out with its numbers; those without words add nothing.
+        at = sizes.alias("z").join(small(state, n_sources).alias("s"), F.col("z.key").eqNullSafe(F.col("s.key")))
+        x = F.col("z.size") / F.greatest(F.col("s.mean"), F.lit(1e-300))
         r = _rate(F.col("s.lam"), x, cap)
-        words_at = F.col("z.size") * F.col("z.n")
-        sums = at.groupBy(F.col("s.key").alias("k")).agg(exact(words_at * r).alias("got"), exact(words_at * r * (1 - r / cap) * x).alias("slope"))
-        moved = state.join(small(sums, n_sources), F.col("key").eqNullSafe(F.col("k")), "left").drop("k")
+        words_at = F.when(F.col("z.size") > 0, F.col("z.size") * F.col("z.n"))
+        own = [F.first(f"s.{c}").alias(c) for c in ("source_size", "n", "target", "mean", "lam", "done")]
+        moved = at.groupBy(F.col("s.key").alias("key")).agg(*own, exact(words_at * r).alias("got"), exact(words_at * r * (1 - r / cap) * x).alias("slope"))
         off = F.coalesce(F.col("got"), F.col("target")) - F.col("target")
         ended = F.col("done") | (F.abs(off) <= close * F.greatest(F.col("target"), F.lit(1.0))) | (F.coalesce(F.col("slope"), F.lit(0.0)) <= 0)
         lam = F.when(ended, F.col("lam")).otherwise(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("lam") - off / F.greatest(F.col("slope"), F.lit(1e-300)))))
-        state = cut(moved.select("key", "source_size", "n", "target", "mean", lam.alias("lam"), ended.alias("done")))
-    if state.filter(~F.col("done")).limit(1).count():
-        raise RuntimeError(f"Newton's steps did not meet the targets in {steps}")
+        state = held(moved.select("key", "source_size", "n", "target", "mean", lam.alias("lam"), ended.alias("done")), n_sources)
+    else:
+        if some(state.filter(~F.col("done"))):
+            raise RuntimeError(f"Newton's steps did not meet the targets in {steps}")
     d = _rated(docs, state, n_sources, cap)
     tried = d.filter(F.col("size") > 0).select("key", "target", "size", "_id", "rate", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     tried = tried.groupBy("key", "trial").agg(F.sum(F.col("size") * _copies(F.col("trial"), cap)).alias("got"), F.first("target").alias("target"))
     best = tried.groupBy("key").agg(F.min(F.struct(F.abs(F.col("got") - F.col("target")).alias("off"), "trial")).alias("b")).select(F.col("key").alias("k"), F.col("b.trial").alias("trial"))
-    state = cut(state.join(small(cut(best), n_sources), F.col("key").eqNullSafe(F.col("k")), "left").drop("k"))
+    state = held(state.join(small(held(best, n_sources), n_sources), F.col("key").eqNullSafe(F.col("k")), "left").drop("k"), n_sources)
     if keep:
         # Columns stay with their rows: sizes are counted again, and only the sources' few numbers are joined.
         docs = df.select(F.struct(*keep).alias("_kept"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("key"), F.size(words(text_col)).cast("long").alias("size"))

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, let, small, words
+from .common import BLANKS, cut, held, let, small, some, words
 
 STATS = ("length", "mean_word", "symbols", "dup_lines", "repeats")
 #: Grid of the statistics: 1/GRID. Spread that every group is given at least, by statistic: rates of clean text are often all zero.
@@ -128,14 +128,14 @@ def _fit(rows: DataFrame, keys: list[str], scale: Column | None = None) -> DataF
     return _factored(g, keys, mean, {(i, j): c + by + (f" + {FLOOR[i] ** 2!r}D" if i == j else "") for (i, j), c in cov.items()})
 
 
-def _starts(good: DataFrame, keys: list[str], small_: Callable) -> DataFrame:
+def _starts(good: DataFrame, keys: list[str], small_: Callable, held_: Callable) -> DataFrame:
     """keys and start, each with a mean and factor: medians and deviations; with covariances of scores clipped at 1.5, or of spatial signs."""
     p = range(len(STATS))
     # Percentiles are exact: the grid bounds the distinct values.
     center = good.groupBy(*keys).agg(*[F.expr(f"percentile(s{i}, 0.5) AS m{i}") for i in p])
-    off = good.join(small_(cut(center)), keys)
+    off = good.join(small_(held_(center)), keys)
     spread = off.groupBy(*keys).agg(*[F.expr(f"first(m{i}) AS m{i}") for i in p], *[F.expr(f"percentile(cast(abs(round(s{i} - m{i})) AS int), 0.5) AS d{i}") for i in p])
-    spread = cut(spread.selectExpr(*keys, *[f"m{i}" for i in p], *[f"sqrt(power(d{i} * 1.4826D / {GRID}D, 2) + {FLOOR[i] ** 2!r}D) AS sd{i}" for i in p]))
+    spread = held_(spread.selectExpr(*keys, *[f"m{i}" for i in p], *[f"sqrt(power(d{i} * 1.4826D / {GRID}D, 2) + {FLOOR[i] ** 2!r}D) AS sd{i}" for i in p]))
     mean = [f"m{i} / {GRID}D" for i in p]
     found = _factored(spread, keys, mean, {(i, j): f"power(sd{i}, 2)" if i == j else "0D" for i, j in _PARTS}).withColumn("start", F.lit(0))
     scored = good.join(small_(spread), keys).selectExpr(*keys, *[f"(s{i} - m{i}) / {GRID}D / sd{i} AS z{i}" for i in p])
@@ -146,7 +146,7 @@ def _starts(good: DataFrame, keys: list[str], small_: Callable) -> DataFrame:
         g, _, cov = _moments(scored.selectExpr(*keys, *columns), keys, "u")
         full = {(i, j): f"{c} * sd{i} * sd{j}" + (f" + {FLOOR[i] ** 2!r}D" if i == j else "") for (i, j), c in cov.items()}
         found = found.unionByName(_factored(g.join(small_(spread), keys), keys, mean, full).withColumn("start", F.lit(k)))
-    return cut(found)
+    return held_(found)
 
 
 def _pools(good: DataFrame, keys: list[str], min_group: int) -> tuple[DataFrame, int]:
@@ -189,33 +189,34 @@ def quality_rules(
     # Each row once for every estimate that takes it in: its own group's, and those of the pools above that small groups need.
     good = cut(good.join(small(pool_of, n_keys), keys).select(F.explode("into").alias("pool"), *[f"s{i}" for i in p]))
     keys, of = ["pool"], keys
-    small_ = functools.partial(small, rows=3 * n_keys)  # at most a pool a group, three starts a pool
-    state, ended, each, stats = _starts(good, keys, small_), None, [*keys, "start"], [f"s{i}" for i in p]
+    small_, held_ = (functools.partial(f, rows=3 * n_keys) for f in (small, held))  # at most a pool a group, three starts a pool
+    state, ended, of_each, stats = _starts(good, keys, small_, held_), None, [*keys, "start"], [f"s{i}" for i in p]
+    each = [*of_each, "before"]
     for step in range(MOST_STEPS):
-        far = good.join(small_(state), keys).selectExpr(*each, *stats, f"{LEVEL} AS level")
+        # An estimate's own determinant goes with its rows, so that it needs no join of its own.
+        far = good.join(small_(state), keys).selectExpr(*of_each, "logdet AS before", *stats, f"{LEVEL} AS level")
         edge = far.groupBy(*each).agg(F.percentile("level", F.lit(support)).alias("edge"))
         near = far.join(small_(edge), each).filter(F.col("level") <= F.col("edge"))
-        before = state.select(*each, F.col("logdet").alias("before"))
         # The first estimates are of other kinds than those that follow: they are no end.
         falls = F.lit(True) if step == 0 else F.col("logdet") < F.col("before") - 1e-2
-        moved = cut(_fit(near, each).join(small_(before), each).withColumn("falls", falls).drop("before"))
+        moved = held_(_fit(near, each).withColumn("falls", falls).drop("before"))
         done = moved.filter(~F.col("falls")).drop("falls")
         ended = done if ended is None else ended.unionByName(done)
         state = moved.filter("falls").drop("falls")
-        if state.limit(1).count() == 0:
+        if not some(state):
             break
     else:
         raise RuntimeError("the determinants did not settle")
     names = [f"{x}{i}{j}" for x in "la" for i, j in _PARTS] + [f"m{i}" for i in p]
-    best = cut(ended.groupBy(*keys).agg(F.min(F.struct("logdet", "start", *names)).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in names]))
+    best = held_(ended.groupBy(*keys).agg(F.min(F.struct("logdet", "start", *names)).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in names]))
 
     def widened(fit: DataFrame) -> DataFrame:
         """With wide: distances are divided by it, as the median of five statistics' normal distances is 4.35."""
         middle = good.join(small_(fit), keys).selectExpr(*keys, f"{LEVEL} AS level").groupBy(*keys).agg(F.percentile("level", F.lit(0.5)).alias("mid"))
-        return cut(fit.join(small_(middle), keys).withColumn("wide", F.greatest(F.pow(F.lit(2.0), F.col("mid") / 32) / 4.35, F.lit(1.0))))
+        return held_(fit.join(small_(middle), keys).withColumn("wide", F.greatest(F.pow(F.lit(2.0), F.col("mid") / 32) / 4.35, F.lit(1.0))))
 
     inside = good.join(small_(widened(best)), keys).filter(f"({DISTANCE}) / wide <= {chi_square(0.025)!r}D").select(*keys, *stats)
-    final = widened(cut(_fit(inside, keys)))
+    final = widened(held_(_fit(inside, keys)))
     fits = pool_of.select(*of, "pool").join(small_(final), keys)
     judged = rows.join(small(fits, n_keys), of, "left").withColumn("distance", F.when(~F.col("base_failed"), F.expr(f"({DISTANCE}) / wide")))
     return judged.select(

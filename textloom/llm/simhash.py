@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import cut, small
+from .common import BROADCAST_ROWS, cut, small, some
 
 LEAF, SHARD_ROWS = 192, 4096
 #: An undivided leaf of more rows, and a shard of more rows, are linked by points half-way.
@@ -181,8 +181,7 @@ def links(classes: DataFrame, n: int, max_bits: int = 2, shard_rows: int = SHARD
         return pa.table({"a": fps[on].view(np.int64), "b": fps[lab[on]].view(np.int64)})
 
     shards = cut(_shards(classes, levels, max_bits))
-    large = cut(shards.groupBy("shard").count().filter(F.col("count") > largest).select("shard"))
-    if max_bits != 2 or not large.limit(1).count():
+    if max_bits != 2 or n <= largest or not some(large := cut(shards.groupBy("shard").count().filter(F.col("count") > largest).select("shard"))):
         return shards.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
     bound = small(large)
     whole = shards.join(bound, "shard", "left_anti").groupBy("shard").applyInArrow(run, "a long, b long")
@@ -193,19 +192,23 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for each node of the (a, b) links: root is the smallest node that it reaches.
 
     Rounds of: hang every neighbour on the smallest of them (large star), then every smaller-or-equal one (small star), until
-    nothing moves. A node's neighbours are only ever reduced to their minimum, so no group is gathered in one task.
+    nothing moves. A node's neighbours are only ever reduced to their minimum, so no group is gathered in one task. A link stays
+    one link or goes, so the first count bounds all rounds: few nodes are broadcast uncounted, many are written and counted.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    few = 2 * e.count() <= BROADCAST_ROWS
     for _ in range(60):
         before = e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        big = both.filter("b > a").join(small(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        big = both.filter("b > a").join(F.broadcast(low) if few else small(cut(low)), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(big.filter("a <> b").distinct())
-        low = cut(e.groupBy("a").agg(F.min("b").alias("m")))
-        star = e.join(small(low), "a")
+        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        low = low if few else cut(low)
+        star = e.join(F.broadcast(low) if few else small(low), "a")
         e = cut(star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        if before.exceptAll(e).limit(1).count() == 0 and e.exceptAll(before).limit(1).count() == 0:
+        # Links are distinct in each, so those in both are there twice.
+        if not some(before.unionByName(e).groupBy("a", "b").count().filter("count = 1")):
             break
     else:
         raise RuntimeError("components did not settle")
