@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from textloom.llm import coder, decontaminate, lmscore, mixing, pii, quality, sharding, simhash, substrings, tokenfile, tokens
+from textloom.llm import bytebpe, coder, decontaminate, lmscore, mixing, pii, quality, sharding, simhash, substrings, tokenfile, tokens
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -388,6 +388,19 @@ def test_coder_blocks():
             coder.decode(data[:k] if k > 12 else b"TLC" + data[4:])
 
 
+def test_coder_sure(monkeypatch):
+    """Ids that both guesses miss, each as sure as can be, leave a lane some range."""
+    rule = coder._Model._probabilities
+
+    def sure(self):
+        rule(self)
+        self.pa, self.pb = np.full_like(self.pa, 65400), np.full_like(self.pb, 65400)
+
+    monkeypatch.setattr(coder._Model, "_probabilities", sure)
+    ids = np.random.default_rng(3).integers(0, 300, 30_000)
+    assert (coder.decode(coder.encode(ids)) == ids).all()
+
+
 def test_byte_bpe():
     """Against the library, on texts of pieces that meet in all ways."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -402,6 +415,27 @@ def test_byte_bpe():
     assert here.ids(pa.array(["a b", "c"] * 5)[3:5])[1].tolist() == lib.encode("a b").ids and here.ids(pa.array([], pa.string())) == []
 
 
+def test_byte_bpe_known(monkeypatch):
+    """Pre-tokens that were merged before are looked up, not merged again; a table that fills up changes no id."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, merged, r = tokenizers.Tokenizer.from_file(path), [], random.Random(7)
+    merge = bytebpe.ByteBPE._merge
+    monkeypatch.setattr(bytebpe.ByteBPE, "_merge", lambda self, s, *more: merged.append(len(s)) or merge(self, s, *more))
+    letters = ["a", "e", "th", "ing", "é", "0", "\0", "!", "q" * 8, "z" * 15, " ", "\n"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(400)] + [None, "", "日本", "x" * 70]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    here = bytebpe.ByteBPE(path)
+    assert [x.tolist() for x in here.ids(pa.array(texts))] == want and sum(merged) > 300
+    merged.clear()
+    short = [k for k, t in enumerate(texts) if t and not any(len(w) > 7 for w in re.split(r"[\s!0\0]+", t))]
+    assert len(short) > 5 and [x.tolist() for x in here.ids(pa.array([texts[k] for k in short]))] == [want[k] for k in short] and not merged
+    for bits in (2, 5, 8, 9):
+        here.known = bytebpe._Known(bits)
+        for size in (1, 7, 400):
+            assert [x.tolist() for k in range(0, len(texts), size) for x in here.ids(pa.array(texts[k:k + size], pa.string()))] == want, (bits, size)
+            assert here.known.n <= 1 << bits - 1 and (here.known.w1 > 0).sum() == here.known.n
+
+
 def test_token_files_repeats(spark):
     """Rows that share an id, or are null there, come in the order of their text's hash, on every run."""
     rows = [(5, made(k % 7, 20)) for k in range(40)] + [(None, made(k % 5, 9)) for k in range(30)] + [(2**40, "z")]

@@ -1,8 +1,9 @@
 """Byte-level BPE of many texts at once, with the vocabulary and merges of a tokenizers file.
 
-Texts are cut into pre-tokens by the classes of their bytes, in numpy; equal
-pre-tokens of a batch are merged once, all those of one length side by side, the
-pair of lowest rank first. Texts with characters or strings outside the classes
+Texts are cut into pre-tokens by the classes of their bytes, in numpy. Short ones
+are looked up among those that were merged before; equal ones of a batch that are
+new are merged once, those of similar length side by side, the pair of lowest
+rank first. Texts with characters or strings outside the classes
 below, and very long pre-tokens, go to the library itself.
 """
 
@@ -17,9 +18,14 @@ import pyarrow.compute as pc
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _BLANK, _ODD = range(6)
 #: Longest pre-token, in bytes, that is known by its bytes, and longest that is merged here.
-_KEYED, _LONGEST = 16, 64
+_KEYED, _LONGEST = 15, 64
+#: Places of the table of merged pre-tokens, a power of two.
+_PLACES = 21
+#: Pre-tokens are merged side by side up to each of these lengths; shorter ones are filled up with _NONE, which no pair has.
+_WIDTHS = (4, 6, 8, 11, _KEYED, 24, _LONGEST)
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def _class(c: str) -> int:
@@ -76,6 +82,80 @@ class _Pairs:
         return out.reshape(a.shape)
 
 
+def _mixed(w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    return (w0 ^ (w0 >> _U(29))) * _U(0x9E3779B97F4A7C15) + (w1 ^ (w1 >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+
+
+def _distinct(w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each pair of numbers, and for each row the number of the one that equals it."""
+    order = np.argsort(_mixed(w0, w1))
+    a, b = w0[order], w1[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(begin - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+
+
+class _Known:
+    """Ids of short pre-tokens by their two numbers (the second is never 0): a hash table with open places, emptied when half of them are taken."""
+
+    def __init__(self, bits: int = _PLACES):
+        self.bits = bits
+        self.empty()
+
+    def empty(self) -> None:
+        self.w0, self.w1, self.value = (np.zeros(1 << self.bits, t) for t in (_U, _U, np.int64))
+        self.ids, self.used, self.n = np.empty(1 << 16, np.int32), 0, 0
+
+    def _place(self, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+        return (_mixed(w0, w1) >> _U(64 - self.bits)).view(np.int64)
+
+    def find(self, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """16 times where each row's ids begin plus how many they are, and the rows that are not known."""
+        at = self._place(w0, w1)
+        on = np.flatnonzero((self.w1.take(at, mode="clip") != w1) | (self.w0.take(at, mode="clip") != w0))
+        new = []
+        while len(on):
+            here = at[on]
+            there = self.w1[here]
+            free = there == 0
+            new.append(on[free])
+            more = ~free & ((there != w1[on]) | (self.w0[here] != w0[on]))
+            on = on[more]
+            at[on] = (here[more] + 1) & ((1 << self.bits) - 1)
+        return self.value.take(at, mode="clip"), np.concatenate(new) if new else on
+
+    def add(self, w0: np.ndarray, w1: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, counts[k] of the k-th each, of these rows and of others behind them that are not to be kept -> all ids, and where each one's begin."""
+        need, k = self.used + len(ids), len(w0)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(need, np.int32)])
+        table, begin = self.ids, self.used + np.cumsum(counts) - counts
+        table[self.used:need] = ids
+        self.n += k
+        if self.n > 1 << self.bits - 1 or need > 16 << self.bits - 1:
+            self.empty()
+            return table, begin
+        self.used += int(counts[:k].sum())
+        value, todo, at = begin[:k] << 4 | counts[:k], np.arange(k), self._place(w0, w1)
+        while len(todo):
+            free = todo[self.w1[at[todo]] == 0]
+            self.value[at[free]] = free
+            free = free[self.value[at[free]] == free]
+            for column, new in ((self.w0, w0), (self.w1, w1), (self.value, value)):
+                column[at[free]] = new[free]
+            todo = todo[(self.w1[at[todo]] != w1[todo]) | (self.w0[at[todo]] != w0[todo])]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+        return table, begin
+
+
 class ByteBPE:
     """ids(texts) as the tokenizers library gives them for the file at path (byte-level, without a space added in front)."""
 
@@ -95,13 +175,13 @@ class ByteBPE:
         merges = [m if isinstance(m, list) else m.split(" ") for m in made["model"]["merges"]]
         self.pairs = _Pairs([(vocab[a], vocab[b]) for a, b in merges])
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
+        # Of each two bytes, the first times 256.
+        self.byte_rank = self.pairs.rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
+        self.known = _Known()
 
-    def _merge(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of byte ids, all of one length -> the same rows merged, and their lengths."""
-        out, size = s.copy(), np.full(len(s), s.shape[1])
-        if s.shape[1] == 1:
-            return out, size
-        on, ranks = np.arange(len(s)), self.pairs.rank(s[:, :-1], s[:, 1:])
+    def _merge(self, s: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of byte ids, all of one length, and the ranks of their pairs -> the same rows merged, and their lengths."""
+        out, size, on = s.copy(), np.full(len(s), s.shape[1]), np.arange(len(s))
         while len(on):
             k = ranks.argmin(1)
             best = ranks[np.arange(len(on)), k]
@@ -172,31 +252,37 @@ class ByteBPE:
                 start[behind[behind < len(data)]] = True
         return np.flatnonzero(start)
 
-    def _distinct(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pre-tokens to merge, and for each pre-token the one among those that equals it. Long ones each stand for themselves."""
-        short = size <= _KEYED
-        every = bool(short.all())
-        a, n = (at, size) if every else (at[short], size[short])
+    def _numbers(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Short pre-tokens as two numbers each: their bytes, and in the last one their length."""
         words = np.ndarray((len(data) + 8,), "<u8", np.append(data, np.zeros(24, np.uint8)), strides=(1,))
-        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
-        w0, w1 = words[a] & mask[np.minimum(n, 8)], np.zeros(len(a), _U)
-        more = np.flatnonzero(n > 8)
-        w1[more] = words[a[more] + 8] & mask[n[more] - 8]
-        key = (w0 ^ (w0 >> _U(29))) * _U(0x9E3779B97F4A7C15) + (w1 ^ (w1 >> _U(31)) ^ (n.astype(_U) << _U(56))) * _U(0xBF58476D1CE4E5B9)
-        order = np.argsort(key)
-        w0, w1, m = w0[order], w1[order], n[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (w0[1:] != w0[:-1]) | (w1[1:] != w1[:-1]) | (m[1:] != m[:-1])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        chosen = order[new]
-        if every:
-            return chosen, number
-        which = np.flatnonzero(short)
-        long = np.flatnonzero(~short)
-        all_numbers = np.empty(len(at), np.int64)
-        all_numbers[which], all_numbers[long] = number, len(chosen) + np.arange(len(long))
-        return np.concatenate([which[chosen], long]), all_numbers
+        w0, w1 = words[at] & _MASK.take(np.minimum(size, 8)), size.astype(_U) << _U(56)
+        more = np.flatnonzero(size > 8)
+        w1[more] |= words[at[more] + 8] & _MASK.take(size[more] - 8)
+        return w0, w1
+
+    def _spell(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each pre-token has, and all their ids in order."""
+        counts, parts = np.zeros(len(at), np.int64), []
+        for low, n in zip((0, *_WIDTHS), _WIDTHS):
+            rows = np.flatnonzero((size > low) & (size <= n))
+            if len(rows):
+                place, m = np.arange(n), size[rows]
+                found = data.take(at[rows, None] + place, mode="clip")
+                ranks = self.byte_rank.take(found[:, :-1].astype(np.int32) << 8 | found[:, 1:])
+                inside = place < m[:, None]
+                made, left = self._merge(np.where(inside, self.byte_id.take(found), _NONE), np.where(inside[:, 1:], ranks, _NONE))
+                counts[rows] = left - (n - m)
+                parts.append((rows, made[place < counts[rows, None]]))
+        rows = np.flatnonzero(size > _LONGEST)
+        if len(rows):
+            some = self.lib.encode_batch_fast([data[a:a + n].tobytes().decode() for a, n in zip(at[rows].tolist(), size[rows].tolist())], add_special_tokens=False)
+            each = [np.array(e.ids, np.int32) for e in some]
+            counts[rows] = [len(e) for e in each]
+            parts.append((rows, np.concatenate(each)))
+        begin, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int32)
+        for rows, ids in parts:
+            out[_ranges(begin[rows], counts[rows])] = ids
+        return counts, out
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids (int32) of each text; null texts have none."""
@@ -221,30 +307,20 @@ class ByteBPE:
         if odd:
             keep = ~np.isin(text, list(odd))
             at, size, text = at[keep], size[keep], text[keep]
-        chosen, number = self._distinct(data, at, size)
-        where, length = at[chosen], size[chosen]
-        counts, parts = np.zeros(len(chosen), np.int64), []
-        for n in np.unique(length).tolist():
-            rows = np.flatnonzero(length == n)
-            if n > _LONGEST:
-                some = self.lib.encode_batch_fast([whole[a:a + n].decode() for a in where[rows].tolist()], add_special_tokens=False)
-                each = [np.array(e.ids, np.int32) for e in some]
-                counts[rows] = [len(e) for e in each]
-                parts.append((rows, np.concatenate(each)))
-                continue
-            made, m = self._merge(self.byte_id[data[where[rows][:, None] + np.arange(n)]])
-            counts[rows] = m
-            parts.append((rows, made[np.arange(n) < m[:, None]]))
-        # Where each chosen one's ids are, then every pre-token's ids in order.
-        begin, table, done = np.zeros(len(chosen), np.int64), [], 0
-        for rows, flat in parts:
-            c = counts[rows]
-            begin[rows] = done + np.cumsum(c) - c
-            table.append(flat)
-            done += len(flat)
-        c = counts[number]
-        end = np.cumsum(c)
-        flat = np.concatenate(table)[np.repeat(begin[number] - (end - c), c) + np.arange(int(end[-1]) if len(end) else 0)] if table else np.zeros(0, np.int32)
+        # The ids of each pre-token that is not known, then every pre-token's ids in order.
+        short, long = np.flatnonzero(size <= _KEYED), np.flatnonzero(size > _KEYED)
+        w0, w1 = self._numbers(data, at[short], size[short])
+        value, new = self.known.find(w0, w1)
+        chosen, number = _distinct(w0[new], w1[new])
+        chosen, k = new[chosen], len(chosen)
+        spelled = np.concatenate([short[chosen], long])
+        counts, some = self._spell(data, at[spelled], size[spelled])
+        table, first = self.known.add(w0[chosen], w1[chosen], counts, some)
+        value[new] = (first[:k] << 4 | counts[:k])[number]
+        begin, c = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        begin[short], c[short] = value >> 4, value & 15
+        begin[long], c[long] = first[k:], counts[k:]
+        flat = table.take(_ranges(begin, c), mode="clip")
         per_text = np.bincount(text, weights=c, minlength=len(texts)).astype(np.int64)
         out = np.split(flat, np.cumsum(per_text)[:-1])
         if odd:

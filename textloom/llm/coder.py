@@ -26,11 +26,13 @@ import zlib
 import numpy as np
 
 BLOCK, LANES, SHORTEST = 1 << 22, 8192, 512
-MAGIC = b"TLC2"
+MAGIC = b"TLC3"
 _U = np.uint64
 #: Entries of the order-2 table, slots of order 0 and the pseudo id that announces a new id.
 _CONTEXTS, _SLOTS, _NEW = 19, 17, 65536
-_LEARN, _RENEW = 8, 32
+_HASH1, _HASH2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+#: Steps between two times that cells are counted (the first steps all are), mixed anew, and that order 0 is made anew.
+_COUNT, _LEARN, _RENEW = 4, 16, 64
 _STRETCH = np.array([round(math.log((p + 0.5) / (4096 - p - 0.5)) * 256) for p in range(4096)], np.int64)
 _SQUASH = np.array([round(65536 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], np.int64)
 #: What a wrong (even places) and a right guess (odd places) add to sureness; a wrong guess at sureness 0 or 1 is replaced, at sureness 1.
@@ -76,7 +78,8 @@ class _Model:
         self.a, self.b = _Decision(), _Decision()
         self.new_a, self.new_b = np.zeros(2048, np.int64), np.zeros(4096, np.int64)
         self.counts, self.lately = np.zeros(_NEW + 1, np.int64), []
-        self.c1, self.c2, self.step = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), 0
+        self.c1, self.step = np.zeros(lanes, np.int64), 0
+        self.last = self.hash1 = self.hash2 = np.zeros(lanes, np.uint32)
         self._renew()
         self._probabilities()
 
@@ -103,33 +106,32 @@ class _Model:
         self.common = np.searchsorted(np.array([1, 2, 8, 32, 128, 512, 2048]), size, "right").astype(np.int32)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guesses of order 2 and 1, and where their parts of 65536 end; the rest is order 0's."""
-        c1 = self.c1
-        self.at2 = ((c1 * 0x9E3779B1 + self.c2 * 0x85EBCA6B) >> 13) & ((1 << _CONTEXTS) - 1)
-        self.x1, self.x2 = _at(self.e1, c1), _at(self.e2, self.at2)
+        """Guesses of order 2 and 1, and where their parts of 65536 end; the rest, 2 or more, is order 0's."""
+        self.at2 = ((self.hash1 + self.hash2) >> np.uint32(32 - _CONTEXTS)).astype(np.int64)
+        self.x1, self.x2 = _at(self.e1, self.c1), _at(self.e2, self.at2)
         self.g1, self.g2 = g1, g2 = self.x1 >> 3, self.x2 >> 3
         self.s1, self.s2 = s1, s2 = self.x1 & 7, self.x2 & 7
         same = (g1 == g2).astype(np.int32) << 3
-        self.cell_a = (s2 << 7 | s1 << 4 | same) + _at(self.common, g2)
-        self.cell_b = (s1 << 7 | s2 << 4 | same) + _at(self.common, g1)
+        self.cell_a = ((s2 << 7 | s1 << 4 | same) + _at(self.common, g2)).astype(np.int64)
+        self.cell_b = ((s1 << 7 | s2 << 4 | same) + _at(self.common, g1)).astype(np.int64)
         end_a = _at(self.pa, self.cell_a)
-        end_b = end_a + ((65536 - end_a) * _at(self.pb, self.cell_b) >> 16)
+        end_b = end_a + ((65534 - end_a) * _at(self.pb, self.cell_b) >> 16)
         return g2, g1, end_a.view(_U), end_b.view(_U)
 
     def learn(self, ids: np.ndarray, is2: np.ndarray, is12: np.ndarray, rest: np.ndarray) -> None:
-        """is2, is12: order 2, or one of both, was right; rest: what order 0 coded."""
+        """ids: int32; is2, is12: order 2, or one of both, was right; rest: what order 0 coded."""
         t = self.step = self.step + 1
-        if t % 2 or t < _LEARN:  # the cells get by with every other step
+        if t % _COUNT == 1 or t < _LEARN:
             self.new_a += np.bincount(self.cell_a << 1 | is2, minlength=2048)
-            self.new_b += np.bincount(self.cell_b << 2 | is12.astype(np.int32) << 1 | is2, minlength=4096)
+            self.new_b += np.bincount(self.cell_b << 2 | is12.astype(np.int64) << 1 | is2, minlength=4096)
         if len(rest):
             self.lately.append(rest)
-        fresh = (ids << 3 | 1).astype(np.int32)
+        fresh = ids << 3 | 1
         for table, at, x, sure, right in ((self.e1, self.c1, self.x1, self.s1, self.g1 == ids), (self.e2, self.at2, self.x2, self.s2, is2)):
-            new = x + _at(_SURER, sure << 1 | right)
-            np.copyto(new, fresh, where=(sure < 2) & ~right)
-            table[at] = new
-        self.c2, self.c1 = self.c1, ids
+            table[at] = np.where((sure < 2) & ~right, fresh, x + _at(_SURER, sure << 1 | right))
+        u = ids.view(np.uint32)
+        self.hash2, self.hash1 = self.last * _HASH2, u * _HASH1
+        self.c1, self.last = ids.astype(np.int64), u
         if t % _LEARN == 0 or t < _LEARN:
             self.a.learn(self.new_a.reshape(*_Decision.SHAPE, 2))
             b = self.new_b.reshape(*_Decision.SHAPE, 4)
@@ -143,22 +145,20 @@ class _Model:
 def _encode_block(ids: np.ndarray) -> bytes:
     steps = max(SHORTEST, -(-len(ids) // LANES))
     lanes = -(-len(ids) // steps)
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[: len(ids)] = ids
     rows = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model, new = _Model(lanes), []
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    # Words come out with their carries, which are passed on at the end.
-    words, n = np.zeros((steps + 2, lanes), _U), np.zeros(lanes, np.int64)
-    flat, number = words.reshape(-1), np.arange(lanes)
-
-    def add(on: np.ndarray | slice, more: np.ndarray) -> None:
-        now = low[on] + more
-        over = np.flatnonzero(now < more)
-        low[on] = now
+    # Words come out with their carries, which are passed on at the end; at: the place of a lane's next word.
+    words, at, zero = np.zeros((steps + 2, lanes), _U), np.arange(lanes), np.zeros(lanes, _U)
+    flat = words.reshape(-1)
+
+    def add(more: np.ndarray) -> None:
+        low[:] += more
+        over = np.flatnonzero(low < more)
         if len(over):
-            over = over if isinstance(on, slice) else on[over]
-            flat[(n[over] - 1) * lanes + over] += _U(1)
+            flat[at[over] - lanes] += _U(1)
 
     for now in rows:
         g2, g1, end_a, end_b = model.predict()
@@ -167,39 +167,42 @@ def _encode_block(ids: np.ndarray) -> bytes:
         part = rng >> _U(16)
         end_a *= part
         end_b *= part
-        begin = np.where(is2, _U(0), np.where(is12, end_a, end_b))
-        rng = np.where(is2, end_a, np.where(is12, end_b, rng)) - begin
-        add(slice(None), begin)
+        begin = np.where(is2, zero, end_a)
+        size = np.where(is2, end_a, end_b) - begin
         on = np.flatnonzero(~is12)
-        symbol = now[on]
-        size = _at(model.size, symbol)
-        fresh = np.flatnonzero(size == 0)
+        symbol = _at(now, on).astype(np.int64)
+        own = _at(model.size, symbol)
+        fresh = np.flatnonzero(own == 0)
         if len(fresh):
             new.append(symbol[fresh])
             coded = symbol.copy()
             coded[fresh] = _NEW
-            size[fresh] = model.size[_NEW]
+            own[fresh] = model.size[_NEW]
         else:
             coded = symbol
-        part = rng[on] >> _U(_SLOTS)
-        add(on, part * _at(model.start, coded))
-        rng[on] = part * size
+        base = _at(end_b, on)
+        part = (_at(rng, on) - base) >> _U(_SLOTS)
+        begin[on] = base + part * _at(model.start, coded)
+        size[on] = part * own
+        add(begin)
+        rng = size
         out = np.flatnonzero(rng < _U(1 << 32))
-        flat[n[out] * lanes + number[out]] = low[out] >> _U(32)
-        n[out] += 1
-        low[out] <<= _U(32)
-        rng[out] <<= _U(32)
+        place, done = _at(at, out), _at(low, out)
+        flat[place] = done >> _U(32)
+        at[out] = place + lanes
+        low[out] = done << _U(32)
+        rng[out] = _at(rng, out) << _U(32)
         model.learn(now, is2, is12, coded if not len(fresh) else np.concatenate([symbol, np.full(len(fresh), _NEW)]))
-    add(slice(None), np.full(lanes, 2**32 - 1, _U))
-    flat[n * lanes + number] = low >> _U(32)
-    n += 1
-    for k in range(int(n.max()) - 1, 0, -1):
+    add(np.full(lanes, 2**32 - 1, _U))
+    flat[at] = low >> _U(32)
+    n = at // lanes + 1
+    words = words[: int(n.max())]
+    for k in range(len(words) - 1, 0, -1):
         words[k - 1] += words[k] >> _U(32)
-    used = np.arange(len(words))[None, :] < n[:, None]
-    data = words.T[used].astype("<u4").tobytes()
+    data = words.astype("<u4").T[np.arange(len(words)) < n[:, None]].tobytes()
     side = np.concatenate(new).astype("<u2").tobytes() if new else b""
     lengths = n.astype("<u4").tobytes()
-    head = struct.pack("<IIIIII", len(ids), steps, lanes, len(data), len(side), zlib.crc32(ids.astype("<u4").tobytes()))
+    head = struct.pack("<IIIIII", len(ids), steps, lanes, len(data), len(side), zlib.crc32(ids.astype("<u2").tobytes()))
     return head + struct.pack("<I", zlib.crc32(lengths, zlib.crc32(head))) + lengths + data + side
 
 
@@ -213,37 +216,34 @@ def _decode_block(data: bytes, at: int) -> tuple[np.ndarray, int]:
     at += 28
     n = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
     at += 4 * lanes
-    words = np.append(np.frombuffer(data, "<u4", n_data // 4, at), np.uint32(0)).astype(_U)
+    # A zero follows each lane's words.
+    words = np.zeros(n_data // 4 + lanes, _U)
+    words[np.arange(n_data // 4) + np.repeat(np.arange(lanes), n)] = np.frombuffer(data, "<u4", n_data // 4, at)
     side = np.append(np.frombuffer(data, "<u2", n_side // 2, at + n_data), np.uint16(0)).astype(np.int64)
-    end = np.cumsum(n)
-    pos, zero, used = end - n, len(words) - 1, 0
-    out, model = np.zeros((steps, lanes), np.int64), _Model(lanes)
+    pos, zero, used = np.cumsum(n + 1) - n - 1, np.zeros(lanes, _U), 0
+    out, model = np.zeros((steps, lanes), np.int32), _Model(lanes)
     rng, code = np.full(lanes, 2**64 - 1, _U), np.zeros(lanes, _U)
 
-    def read(on: np.ndarray | slice) -> np.ndarray:
-        """The next word of these lanes; zeros follow a lane's last."""
-        p = pos[on]
-        got = _at(words, np.where(p < end[on], p, zero))
-        pos[on] = p + 1
-        return got
-
     for _ in range(2):
-        code = code << _U(32) | read(slice(None))
+        code = code << _U(32) | _at(words, pos)
+        pos += 1
     for t in range(steps):
         g2, g1, end_a, end_b = model.predict()
         part = rng >> _U(16)
         end_a *= part
         end_b *= part
         is2, is12 = code < end_a, code < end_b
-        begin = np.where(is2, _U(0), np.where(is12, end_a, end_b))
-        rng = np.where(is2, end_a, np.where(is12, end_b, rng)) - begin
-        code -= begin
-        now = np.where(is2, g2, g1).astype(np.int64)
+        begin = np.where(is2, zero, end_a)
+        size = np.where(is2, end_a, end_b) - begin
+        now = np.where(is2, g2, g1)
         on = np.flatnonzero(~is12)
-        part, c = rng[on] >> _U(_SLOTS), code[on]
+        base = _at(end_b, on)
+        part, c = (_at(rng, on) - base) >> _U(_SLOTS), _at(code, on) - base
         coded = _at(model.slot, (c // np.maximum(part, _U(1))).view(np.int64)).astype(np.int64)
-        code[on] = c - part * _at(model.start, coded)
-        rng[on] = part * _at(model.size, coded)
+        begin[on] = base + part * _at(model.start, coded)
+        size[on] = part * _at(model.size, coded)
+        code -= begin
+        rng = size
         fresh = np.flatnonzero(coded == _NEW)
         rest = coded
         if len(fresh):
@@ -253,12 +253,14 @@ def _decode_block(data: bytes, at: int) -> tuple[np.ndarray, int]:
             rest = np.concatenate([coded, np.full(len(fresh), _NEW)])
         now[on] = coded
         more = np.flatnonzero(rng < _U(1 << 32))
-        code[more] = code[more] << _U(32) | read(more)
-        rng[more] <<= _U(32)
+        place = _at(pos, more)
+        code[more] = _at(code, more) << _U(32) | _at(words, place)
+        pos[more] = place + 1
+        rng[more] = _at(rng, more) << _U(32)
         out[t] = now
         model.learn(now, is2, is12, rest)
     ids = out.T.reshape(-1)[:total]
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    if zlib.crc32(ids.astype("<u2").tobytes()) != crc:
         raise ValueError("a block is damaged")
     return ids, at + n_data + n_side
 

@@ -27,8 +27,8 @@ from .bytebpe import ByteBPE
 from .common import shared_folder, small
 
 GROUP_IDS, PART_BYTES, END_ID = 4_000_000, 16_000_000, 0
-#: Characters that are tokenized at a time.
-SLICE = 6_000_000
+#: Bytes of text that are tokenized at a time: few enough that numpy's arrays stay near the cache.
+SLICE = 2_000_000
 
 _encoders: dict[str, ByteBPE] = {}
 
